@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import linededup, matroska, urllist
+from fragmenta.llm import decontam, linededup, matroska, quality, urllist
 from fragmenta.llm._shared import table
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_texts(table(spark, sf_dir, "documents"))
 
@@ -63,5 +68,10 @@ SELECT k.page_id, k.host, count(i.list) AS n_active, count(i.list) > 0 AS blocke
 FROM k LEFT JOIN i ON i.pattern = k.pattern AND i.action = 'add' AND i.day <= k.day AND (i.until IS NULL OR k.day < i.until) GROUP BY k.page_id, k.host
 """
 
-QUERIES = {"op2_matroska": op2_matroska, "op5_line_dedup": op5_line_dedup, "op7_url_lists": op7_url_lists}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark passage that overlap."""
+    return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op5_line_dedup": op5_line_dedup, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op7_url_lists": OP7_SQL}
