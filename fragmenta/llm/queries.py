@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import decontam, linededup, matroska, quality, urllist
+from fragmenta.llm import decontam, linededup, matroska, mixing, quality, urllist, warc
 from fragmenta.llm._shared import table
 
 
@@ -33,6 +33,18 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id
 """
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
 #: First day of the dated list, and the days that captures and entries are dealt over.
 FIRST_DAY, DAYS = 18262, 1461
 
@@ -73,5 +85,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op5_line_dedup": op5_line_dedup, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate}
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op7_url_lists": OP7_SQL}
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), mixing.SHARES)
+    shares = [F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(mixing.SHARES)]
+    return mixed.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+
+
+QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate, "op9_soft_mixing": op9_soft_mixing}
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_lists": OP7_SQL}
