@@ -42,7 +42,7 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     """The first n powers; kept between batches, and only for as long as the longest chunk."""
     have = _powers[inverse]
     if len(have) < n:
-        steps = np.full(max(n, 1 << 20), _UNPRIME if inverse else PRIME, U)
+        steps = np.full(max(n, 1 << 18), _UNPRIME if inverse else PRIME, U)
         steps[0] = 1
         _powers[inverse] = have = np.multiply.accumulate(steps)
     return have[:n]
@@ -60,7 +60,7 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, byte bounds) of runs of texts of about ``most`` bytes, or of one longer text. Null: empty."""
     texts = column.fill_null("").cast(pa.large_string())
     if not len(texts):
