@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,12 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends here and survives lost executors.
+
+    What its plan shuffled is not needed any more; a collection lets Spark's cleaner remove it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=codec)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_or_empty(col: str | Column) -> Column:

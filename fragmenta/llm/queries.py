@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import decontam, linededup, matroska, mixing, quality, urllist, warc
+from fragmenta.llm import decontam, linededup, matroska, mixing, quality, tokenfile, urllist, warc
 from fragmenta.llm._shared import table
 
 
@@ -18,6 +18,17 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_texts(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file is; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_archives(tokenfile.write_archives(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -91,5 +102,5 @@ def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
 
 
-QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate, "op9_soft_mixing": op9_soft_mixing}
+QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op4_token_archives": op4_token_archives, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate, "op9_soft_mixing": op9_soft_mixing}
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_lists": OP7_SQL}
