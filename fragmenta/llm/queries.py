@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import decontam, linededup, lm, matroska, mixing, quality, tokenfile, urllist, warc
+from fragmenta.llm import decontam, jaccard, linededup, lm, matroska, mixing, quality, tokenfile, urllist, warc
 from fragmenta.llm._shared import table
 
 
@@ -18,6 +18,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_classes(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file is; it is the same on every machine."""
     import public_tokenizers
@@ -106,5 +110,5 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op4_token_archives": op4_token_archives, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate, "op9_soft_mixing": op9_soft_mixing, "op10_lm_scores": op10_lm_scores}
+QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op3_jaccard_join": op3_jaccard_join, "op4_token_archives": op4_token_archives, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate, "op9_soft_mixing": op9_soft_mixing, "op10_lm_scores": op10_lm_scores}
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_lists": OP7_SQL}
