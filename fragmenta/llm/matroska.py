@@ -27,7 +27,7 @@ DOC_TYPE, DOC_VERSION, DOC_READ = 0x4282, 0x4287, 0x4285
 PARENTS = {SEGMENT, TRACKS, TRACK_ENTRY, AUDIO, INFO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES}
 
-RATE, FRAME, LACED, BLOCKS = 8000, 1024, 32, 16  # samples a second and a frame; frames a block; blocks a cluster
+RATE, FRAME, LACED, BLOCKS = 8000, 1024, 32, 7  # samples a second and a frame; frames a block; blocks a cluster, within 16 bits of milliseconds
 
 
 def _size(n: int, width: int = 0) -> bytes:
