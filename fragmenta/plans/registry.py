@@ -1,53 +1,16 @@
-"""Named queries of the engine and their SQL twins."""
+"""All named queries of the engine and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fragmenta.plans import q_calls, q_dedup, q_filters, q_intervals, q_kernels, q_stats, q_text  # noqa: F401  they register themselves
+from fragmenta.plans.core import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fragmenta.operators.dedup import canonical_pairs
-from fragmenta.plans.fixtures import view, with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``, with its DuckDB twin where SQL has one."""
-
-    def keep(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLES[name] = with_views(sql)
-        return f
-
-    return keep
-
-
-@query(
-    "slice0_pass_somatic",
-    """
-    WITH k AS (SELECT *, (chr1 > chr2) OR (chr1 = chr2 AND (pos1 > pos2 OR (pos1 = pos2 AND strand1 > strand2))) AS sw FROM v_bps),
-    c AS (SELECT *, CASE WHEN sw THEN chr2 ELSE chr1 END AS ka, CASE WHEN sw THEN pos2 ELSE pos1 END AS kb, CASE WHEN sw THEN strand2 ELSE strand1 END AS kc,
-      CASE WHEN sw THEN chr1 ELSE chr2 END AS kd, CASE WHEN sw THEN pos1 ELSE pos2 END AS ke, CASE WHEN sw THEN strand1 ELSE strand2 END AS kf FROM k),
-    r AS (SELECT *, row_number() OVER (PARTITION BY ka, kb, kc, kd, ke, kf ORDER BY somlod, maxlod DESC, bp_num) AS rn FROM c)
-    SELECT chr1, count(*) AS n_pass, CAST(sum(CASE WHEN somlod >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_somatic FROM r WHERE rn = 1 AND conf = 'PASS' GROUP BY chr1
-    """,
-)
-def slice0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = canonical_pairs(view(spark, sf_dir, "v_bps"))
-    return kept.where("conf = 'PASS'").groupBy("chr1").agg(F.count("*").alias("n_pass"), F.sum(F.when(F.col("somlod") >= 1, 1).otherwise(0)).alias("n_somatic"))
-
-
-FLAGSHIP = slice0
+FLAGSHIP = q_dedup.pass_somatic
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
