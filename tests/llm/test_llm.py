@@ -340,10 +340,9 @@ def test_lm_gradients():
         step[at] = 1e-4
         up, down = (lm._gradients(wide._replace(**{name: getattr(wide, name) + s * step}), inputs, targets, weight.astype(np.float64))[1] for s in (1, -1))
         assert abs((up - down) / 2e-4 - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at]))
-    total = np.zeros((lm.WINDOW,))
     every = np.arange(len(counts))
-    logs = lm._log_probabilities(model, np.broadcast_to(inputs[0], (len(every), lm.WINDOW)), np.broadcast_to(every[:, None], (len(every), lm.WINDOW)))
-    total = np.exp(logs.astype(np.float64)).sum(axis=0)
+    logs = lm._log_probabilities(model, np.broadcast_to(inputs[0], (len(every), lm.WINDOW)), np.broadcast_to(every[:, None], (len(every), lm.WINDOW)), np.ones((len(every), lm.WINDOW), bool))
+    total = np.exp(logs.astype(np.float64)).reshape(len(every), lm.WINDOW).sum(axis=0)
     assert np.allclose(total, 1, atol=1e-3)  # a distribution at every place
 
 
