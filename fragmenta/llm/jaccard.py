@@ -122,12 +122,12 @@ def need(sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
     return (sizes + partner) // 7 + 1
 
 
-SET_SCHEMA = "id long, n long, h1 long, h2 long, bands array<int>, spare array<long>, spare2 array<long>"
+SET_SCHEMA = "id long, n long, h1 long, h2 long, bands array<int>, parts array<long>, full array<long>, single array<long>, need array<long>"
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, h1, h2, bands, spare, spare2) of each row of (id, text): size and hash of its set, and in its
-    bands how many subsets it has over what it needs, alone and with one-deletion neighbourhoods."""
+    """SET_SCHEMA of each row of (id, text): size and hash of its set, and for each of its bands (modulo 4, its own
+    first) the segments, its nonempty subsets, those of one shingle, and the subsets it needs to be complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +137,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     total = np.concatenate([np.zeros((2, 1), U), np.cumsum(np.stack([_text.mix(sets.shingles + U(7)), _text.mix(sets.shingles * U(3))]), axis=1)], axis=1)
                     h1, h2 = ((x[sets.first[1:]] - x[sets.first[:-1]]).view(np.int64) for x in total)
-                lists: list[list[list[int]]] = [[[] for _ in range(n)] for _ in range(3)]
+                lists: list[list[list[int]]] = [[[] for _ in range(n)] for _ in range(5)]
                 for back in (0, 1):
                     s = subsets(sets, back)
                     one, start = np.unique(s.of, return_index=True)
@@ -145,12 +145,12 @@ def describe_sets(docs: DataFrame) -> DataFrame:
                         continue
                     count = np.diff(np.append(start, len(s.of)))
                     single = np.add.reduceat((s.size == 1).astype(np.int64), start)
-                    want = need(sets.sizes[one], s.band[start])
-                    for i, b, x, y in zip(one.tolist(), s.band[start].tolist(), (count - want).tolist(), (2 * count - single - want).tolist(), strict=True):
-                        lists[0][i].append(b & 3)
-                        lists[1][i].append(x)
-                        lists[2][i].append(y)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sets.sizes), pa.array(h1), pa.array(h2), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int64())), pa.array(lists[2], pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "bands", "spare", "spare2"])
+                    band = s.band[start]
+                    for i, *row_of in zip(one.tolist(), (band & 3).tolist(), SEGMENTS[band].tolist(), count.tolist(), single.tolist(), need(sets.sizes[one], band).tolist(), strict=True):
+                        for x, y in zip(lists, row_of, strict=True):
+                            x[i].append(y)
+                arrays = [pa.array(x, pa.list_(pa.int32() if k == 0 else pa.int64())) for k, x in enumerate(lists)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sets.sizes), pa.array(h1), pa.array(h2), *arrays], ["id", "n", "h1", "h2", "bands", "parts", "full", "single", "need"])
 
     return docs.mapInArrow(run, SET_SCHEMA)
 
@@ -212,10 +212,10 @@ def _pairs_of(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _meet(emitted: DataFrame, wide: bool, deletions: bool) -> DataFrame:
-    """(a, b, band, crowded): candidate pairs a < b, and for each set (b null) how many of its signatures are too crowded.
+    """(a, b, band, star, times): candidate pairs a < b and how often they met; for each set (b null) how many of its signatures are too crowded.
 
-    Without ``deletions`` all of a small group's sets are paired; of a larger one each with the first.
-    With them a whole subset is paired with those that are equal after a deletion.
+    Without ``deletions`` all of a small group's sets are paired; of a larger one each with the first
+    (``star``). With them a whole subset is paired with those that are equal after a deletion.
     """
     kind = np.int64 if wide else np.uint32
 
@@ -238,19 +238,25 @@ def _meet(emitted: DataFrame, wide: bool, deletions: bool) -> DataFrame:
             a, b = a[differ], b[differ]
         big, many = start[crowd], n[crowd]
         inside = np.repeat(big, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        a, b = np.concatenate([ids[a], ids[np.repeat(big, many)]]), np.concatenate([ids[b], ids[inside]])
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        keep = low != high
-        keep[1:] &= (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        marks, times = np.unique(np.stack([ids[inside], (sign[inside] & _BAND).astype(np.int64)]), axis=1, return_counts=True) if len(inside) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        none = pa.nulls(len(times), pa.int64())
-        pairs = int(keep.sum())
-        columns = [pa.chunked_array([pa.array(low[keep]), pa.array(marks[0])]), pa.chunked_array([pa.array(high[keep]), none]), pa.chunked_array([pa.nulls(pairs, pa.int32()), pa.array(marks[1].astype(np.int32))]), pa.chunked_array([pa.nulls(pairs, pa.int64()), pa.array(times)])]
-        return pa.table(columns, names=["a", "b", "band", "crowded"])
+        band = (sign & _BAND).astype(np.int64)
+        columns = [np.concatenate(x) for x in ((ids[a], ids[np.repeat(big, many)]), (ids[b], ids[inside]), (band[a], band[inside]), (np.zeros(len(a), np.int64), np.ones(len(inside), np.int64)))]
+        low, high = np.minimum(columns[0], columns[1]), np.maximum(columns[0], columns[1])
+        differ = low != high
+        pairs, times = _counted(np.stack([low, high, *columns[2:]])[:, differ])
+        marks, crowded = _counted(np.stack([ids[inside], band[inside]]))
+        none = pa.nulls(marks.shape[1], pa.int64())
+        whole = [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32)), pa.array(pairs[3] > 0), pa.array(times)]
+        alone = [pa.array(marks[0]), none, pa.array(marks[1].astype(np.int32)), pa.array(np.ones(marks.shape[1], bool)), pa.array(crowded)]
+        return pa.table([pa.chunked_array([x, y]) for x, y in zip(whole, alone, strict=True)], names=["a", "b", "band", "star", "times"])
 
-    return emitted.groupBy("bucket").applyInArrow(run, "a long, b long, band int, crowded long")
+    return emitted.groupBy("bucket").applyInArrow(run, "a long, b long, band int, star boolean, times long")
+
+
+def _counted(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns of a matrix, and how often each stands there."""
+    if not columns.shape[1]:
+        return columns, np.zeros(0, np.int64)
+    return np.unique(columns, axis=1, return_counts=True)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -321,11 +327,53 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _hard(described: DataFrame, crowded: DataFrame, spare: str, times: int) -> DataFrame:
-    """The sets with a band in which crowded signatures, ``times`` each, leave them too few: all rows of ``described``, with the crowded counts."""
-    marks = crowded.groupBy(F.col("a").alias("_a")).agg(F.map_from_entries(F.collect_list(F.struct("band", "crowded"))).alias("_marks"))  # two bands at most
-    left = F.zip_with("bands", spare, lambda b, s: s - F.lit(times) * F.coalesce(F.try_element_at("_marks", b), F.lit(0)))
-    return described.join(marks, F.col("id") == F.col("_a"), "left").where(F.exists(left, lambda x: x < 0)).select(*described.columns, F.transform("bands", lambda b: F.coalesce(F.try_element_at("_marks", b), F.lit(0))).alias("crowded"))
+def _with_crowded(described: DataFrame, met: DataFrame) -> DataFrame:
+    """``described`` with ``crowded``: for each band the set's signatures that are too crowded."""
+    counts = met.where("b IS NULL").groupBy("a", "band").agg(F.sum("times").alias("times"))
+    marks = counts.groupBy(F.col("a").alias("_a")).agg(F.map_from_entries(F.collect_list(F.struct("band", "times"))).alias("_marks"))  # two bands at most
+    crowded = F.transform("bands", lambda b: F.coalesce(F.try_element_at("_marks", b), F.lit(0).cast("long")))
+    return described.join(marks, F.col("id") == F.col("_a"), "left").select(*described.columns, crowded.alias("crowded"))
+
+
+def _short(*terms: tuple[int, str]):
+    """Whether a weighted sum of array columns is negative in any band."""
+    total = None
+    for factor, name in terms:
+        term = _scaled(name, factor)
+        total = term if total is None else F.zip_with(total, term, lambda x, y: x + y)
+    return F.exists(total, lambda x: x < 0)
+
+
+def _scaled(name: str, factor: int):
+    return F.transform(name, lambda x: x * F.lit(factor))
+
+
+def _plausible(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small groups that met often enough to link.
+
+    In the band of the smaller set, sets that link share all but (x + y) / 7 segments; shared ones
+    are equal subsets that met, crowded in both, or empty in both.
+    """
+    sums = pairs.where("b IS NOT NULL AND NOT star").groupBy("a", "b", "band").agg(F.sum("times").alias("times"))
+    side = lambda p: about.select(*(F.col(x).alias(f"{p}_{x}") for x in ("id", "n", "bands", "parts", "full", "crowded")))
+    met = sums.join(side("x"), F.col("a") == F.col("x_id")).join(side("y"), F.col("b") == F.col("y_id"))
+    own = F.when(F.col("x_n") <= F.col("y_n"), F.get("x_bands", F.lit(0))).otherwise(F.get("y_bands", F.lit(0)))
+    at = lambda p, name: F.get(f"{p}_{name}", (F.array_position(f"{p}_bands", F.col("band")) - 1).cast("int"))
+    parts = at("x", "parts")
+    shared = F.col("times") + F.least(at("x", "crowded"), at("y", "crowded")) + parts - F.greatest(at("x", "full"), at("y", "full"))
+    return met.where((F.col("band") == own) & (shared >= parts - F.floor((F.col("x_n") + F.col("y_n")) / 7)) & _alike("x_n", "y_n")).select("a", "b")
+
+
+def _alike(x: str, y: str):
+    """Sizes that allow a link."""
+    return F.least(x, y) * 4 >= F.greatest(x, y) * 3
+
+
+def _among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of which both are among ``sets`` and alike in size."""
+    small = sets.select("id", "n")
+    met = pairs.select("a", "b").distinct().join(small.select(F.col("id").alias("a"), F.col("n").alias("_x")), "a").join(small.select(F.col("id").alias("b"), F.col("n").alias("_y")), "b")
+    return met.where(_alike("_x", "_y")).select("a", "b")
 
 
 def _rest(docs: DataFrame, core: DataFrame, roots: DataFrame, bits: int, wide: bool) -> DataFrame:
@@ -378,14 +426,14 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = max(6, int(np.ceil(np.log2(max(1, shingles * 8 / 3e6)))))  # buckets of about 3 MB
     first = reps.where("n >= 3").select(F.col("rep").alias("id"))
     met = written(_meet(_emit(_only(rows, first), bits, wide, False), wide, False), "met")
-    crowded = met.where("b IS NULL").groupBy("a", "band").agg(F.sum("crowded").alias("crowded"))
-    own = whole.where("n >= 3").join(first.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left_semi").drop("h1", "h2")
-    hard = written(_hard(own.dropDuplicates(["id"]), crowded, "spare", 1), "hard")
+    own = whole.where("n >= 3").join(first.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left_semi").drop("h1", "h2").dropDuplicates(["id"])
+    about = written(_with_crowded(own, met), "about")
+    hard = written(about.where(_short((1, "full"), (-1, "need"), (-1, "crowded"))), "hard")
     again = written(_meet(_emit(_only(rows, hard), bits, wide, True), wide, True), "met-again")
-    links = verify(met.where("b IS NOT NULL").select("a", "b").unionByName(again.where("b IS NOT NULL").select("a", "b")), rows)
-    crowded = again.where("b IS NULL").groupBy("a", "band").agg(F.sum("crowded").alias("crowded"))
-    spare = hard.withColumn("spare3", F.zip_with("spare2", "crowded", lambda s, c: s - F.lit(2) * c)).drop("crowded")
-    core = written(_hard(spare, crowded, "spare3", 1).select("id"), "core-sets")
+    near = _among(met.where("b IS NOT NULL AND star"), hard).unionByName(_among(again.where("b IS NOT NULL AND NOT star"), hard))
+    links = verify(_plausible(met, about).unionByName(near), rows)
+    left = _with_crowded(hard.withColumnRenamed("crowded", "before"), again)
+    core = written(left.where(_short((2, "full"), (-1, "single"), (-1, "need"), (-2, "before"), (-1, "crowded"))).select("id"), "core-sets")
     if not core.isEmpty():
         more = verify(_rest(rows, core, components(links), bits, wide), rows)
         links = links.unionByName(more)
