@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fragmenta.operators import intervals as iv
+
 
 def canonical_ends(chr1: Column, pos1: Column, strand1: Column, chr2: Column, pos2: Column, strand2: Column) -> Column:
     """The two breakends of a pair, lower one first, so that AB and BA compare equal."""
@@ -13,14 +15,55 @@ def canonical_ends(chr1: Column, pos1: Column, strand1: Column, chr2: Column, po
     return F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
 
 
-def canonical_pairs(bps: DataFrame, tie: str = "bp_num") -> DataFrame:
+def canonical_pairs(bps: DataFrame, tie: str = "bp_num", mode: str = "reference") -> DataFrame:
     """One row of each unordered breakpoint pair: lowest somlod, then highest maxlod, then ``tie``.
 
     The winner is found by a map-side combined ``min_by``, so a pile-up of one pair costs no
-    sorted window over its rows.
+    sorted window over its rows. Chromosomes are compared by ``chr1`` and ``chr2`` as they are: give
+    sort keys to let all non-standard contigs collapse into one (mode 'reference' with keyed
+    columns), names to keep them apart ('strict').
     """
     c = F.col
     key = canonical_ends(c("chr1"), c("pos1"), c("strand1"), c("chr2"), c("pos2"), c("strand2"))
+    if mode == "strict" and {"name1", "name2"} <= set(bps.columns):
+        key = canonical_ends(c("name1"), c("pos1"), c("strand1"), c("name2"), c("pos2"), c("strand2"))
     row = F.struct(*bps.columns)
     rank = F.struct(c("somlod"), (-c("maxlod")).alias("neg"), c(tie))
     return bps.groupBy(key.alias("_key")).agg(F.min_by(row, rank).alias("_row")).select("_row.*")
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key under ``order``, which should be total."""
+    return df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def union_tokens(df: DataFrame, keys: list[str], order: str, lists: list[str]) -> DataFrame:
+    """One row of each key; comma lists become the union of the rows' tokens, in the order in which they first occur."""
+    rows = [F.array_sort(F.collect_list(F.struct(order, x))).alias(x) for x in lists]
+    out = df.groupBy(*keys).agg(F.count("*").alias("copies"), *rows)
+    for x in lists:
+        out = out.withColumn(x, F.array_join(F.array_distinct(_tokens(x)), ","))
+    return out
+
+
+def _tokens(name: str) -> Column:
+    parts = F.transform(F.col(name), lambda r: F.filter(F.split(F.coalesce(r[name], F.lit("")), ","), lambda t: t != ""))
+    return F.flatten(parts)
+
+
+def fuzzy_pairs(bps: DataFrame, near: int = 10, far: int = 200, large: int = 400, crowd: int = 500) -> DataFrame:
+    """Pairs that no lesser pair (by maxlod descending, then bp_num) of the same strands and PASS-ness lies near at both ends.
+
+    "Near" is ``near`` bases, ``far`` for large events and between chromosomes. Ends with more than
+    ``crowd`` neighbours are removed first, counted before anything is dropped, so the result does
+    not depend on the order of rows.
+    """
+    c = F.col
+    wide = (c("chr1") != c("chr2")) | (F.abs(c("pos2") - c("pos1")) > large)
+    a = bps.withColumn("pad", F.when(wide, far).otherwise(near))
+    other = bps.select(*(c(x).alias(f"o_{x}") for x in ("bp_num", "chr1", "pos1", "strand1", "chr2", "pos2", "strand2", "conf", "maxlod")))
+    met = iv.overlap_join(a, other, [("chr1", "o_chr1"), ("chr2", "o_chr2"), ("strand1", "o_strand1"), ("strand2", "o_strand2")], (c("pos1") - c("pad"), c("pos1") + c("pad")), (c("o_pos1"), c("o_pos1")), 512)
+    met = met.where((F.abs(c("o_pos2") - c("pos2")) <= c("pad")) & (c("o_bp_num") != c("bp_num")))
+    around = met.groupBy("bp_num").agg(F.count("*").alias("n"), F.max(((c("o_conf") == "PASS") == (c("conf") == "PASS")) & ((c("o_maxlod") > c("maxlod")) | ((c("o_maxlod") == c("maxlod")) & (c("o_bp_num") < c("bp_num"))))).alias("beaten"))
+    gone = around.where((c("n") > crowd) | c("beaten")).select(c("bp_num").alias("_gone"))
+    return bps.join(gone, c("bp_num") == c("_gone"), "left_anti")

@@ -236,9 +236,9 @@ def e19(spark, d):
     return view(spark, d, "v_bps").select("bp_num", vcf.info(fields).alias("info"))
 
 
-@query("e19_four_digits", "SELECT l_orderkey AS id, l_linenumber AS ln, printf('%.4g', l_extendedprice / (7 * pow(10, l_linenumber * 2 - 2))) AS x FROM lineitem")
+@query("e19_four_digits", "SELECT l_orderkey AS id, l_linenumber AS ln, printf('%.4g', sqrt(l_extendedprice) / (7 * pow(10, l_linenumber * 2 - 2))) AS x FROM lineitem")
 def e19_digits(spark, d):
-    x = c("l_extendedprice") / (7 * F.pow(F.lit(10.0), c("l_linenumber") * 2 - 2))
+    x = F.sqrt("l_extendedprice") / (7 * F.pow(F.lit(10.0), c("l_linenumber") * 2 - 2))
     return table(spark, d, "lineitem").select(c("l_orderkey").alias("id"), c("l_linenumber").alias("ln"), vcf.significant(x).alias("x"))
 
 
