@@ -90,9 +90,9 @@ def f15(spark, d):
     return fl.drop_crowded(m.where("t >= 3 AND n = 0"), ["mate_chr"], 6).select("mate_chr", "bin")
 
 
-@query("f16_minimal_evidence", "SELECT bp_num FROM v_bp_counts WHERE alt_t + alt_n >= 2 AND bp_num % 11 <> 0")
+@query("f16_minimal_evidence", "SELECT bp_num FROM v_bp_counts WHERE alt_t + alt_n >= 2 AND repeat_len <> 12")
 def f16(spark, d):
-    return view(spark, d, "v_bp_counts").where(fl.has_minimal(c("alt_t"), c("alt_n"), F.lit(0), F.lit(0), c("bp_num") % 11 == 0)).select("bp_num")
+    return view(spark, d, "v_bp_counts").where(fl.has_minimal(c("alt_t"), c("alt_n"), F.lit(0), F.lit(0), c("repeat_len") == 12)).select("bp_num")
 
 
 @query("f17_discordant_only", "SELECT bp_num FROM v_bp_counts b WHERE alt_t + alt_n >= 6 AND NOT EXISTS (SELECT 1 FROM v_bps a WHERE a.bp_num = b.bp_num AND a.conf = 'PASS')")

@@ -37,10 +37,10 @@ def j1_either_end(spark, d):
     return iv.overlap_join(ends, regions(spark, d), [("chr", "g_chr")], (c("pos"), c("pos")), near()).select("bp_num").distinct()
 
 
-@query("j2_paired_range_semi", "SELECT bp_num FROM v_bps b WHERE EXISTS (SELECT 1 FROM v_bps k WHERE k.bp_num % 50 = 0 AND k.bp_num <> b.bp_num AND k.chr1 = b.chr1 AND k.chr2 = b.chr2 AND abs(k.pos1 - b.pos1) <= 10 AND abs(k.pos2 - b.pos2) <= 10)")
+@query("j2_paired_range_semi", "SELECT bp_num FROM v_bps b WHERE EXISTS (SELECT 1 FROM v_bps k WHERE k.conf = 'LOWLOD' AND k.bp_num <> b.bp_num AND k.chr1 = b.chr1 AND k.chr2 = b.chr2 AND abs(k.pos1 - b.pos1) <= 10 AND abs(k.pos2 - b.pos2) <= 10)")
 def j2(spark, d):
     bps = view(spark, d, "v_bps")
-    known = bps.where("bp_num % 50 = 0").select(*(c(x).alias(f"k_{x}") for x in ("bp_num", "chr1", "pos1", "chr2", "pos2")))
+    known = bps.where("conf = 'LOWLOD'").select(*(c(x).alias(f"k_{x}") for x in ("bp_num", "chr1", "pos1", "chr2", "pos2")))
     met = iv.overlap_join(bps, known, [("chr1", "k_chr1"), ("chr2", "k_chr2")], (c("pos1") - 10, c("pos1") + 10), (c("k_pos1"), c("k_pos1")), 32)
     return met.where((F.abs(c("k_pos2") - c("pos2")) <= 10) & (c("k_bp_num") != c("bp_num"))).select("bp_num").distinct()
 
@@ -94,9 +94,9 @@ def a6(spark, d):
     return iv.depth(reads(spark, d), ["chr"], c("pos") + 5, c("pos") + 145)
 
 
-@query("a7_breakpoint_coverage", "WITH b AS (SELECT bp_num, chr1 AS chr, pos1 * 2000 AS p1, pos2 * 2000 AS p2 FROM v_bps WHERE bp_num % 5 = 0 AND chr1 = chr2), e AS (SELECT bp_num, chr, unnest([p1, p2]) AS p FROM b) SELECT bp_num, CAST(sum(least(p + 10, pos + 145) - greatest(p - 10, pos + 5) + 1) AS BIGINT) // 2 // 21 AS coverage FROM e JOIN v_reads r ON r.chr = e.chr AND pos + 5 <= p + 10 AND p - 10 <= pos + 145 GROUP BY bp_num")
+@query("a7_breakpoint_coverage", "WITH b AS (SELECT bp_num, chr1 AS chr, pos1 * 2000 AS p1, pos2 * 2000 AS p2 FROM v_bps WHERE chr1 = chr2), e AS (SELECT bp_num, chr, unnest([p1, p2]) AS p FROM b) SELECT bp_num, CAST(sum(least(p + 10, pos + 145) - greatest(p - 10, pos + 5) + 1) AS BIGINT) // 2 // 21 AS coverage FROM e JOIN v_reads r ON r.chr = e.chr AND pos + 5 <= p + 10 AND p - 10 <= pos + 145 GROUP BY bp_num")
 def a7(spark, d):
-    ends = view(spark, d, "v_bps").where("bp_num % 5 = 0 AND chr1 = chr2").select("bp_num", c("chr1").alias("b_chr"), F.explode(F.array(c("pos1") * 2000, c("pos2") * 2000)).alias("p"))
+    ends = view(spark, d, "v_bps").where("chr1 = chr2").select("bp_num", c("chr1").alias("b_chr"), F.explode(F.array(c("pos1") * 2000, c("pos2") * 2000)).alias("p"))
     met = iv.overlap_join(reads(spark, d).select("chr", "pos"), ends, [("chr", "b_chr")], (c("pos") + 5, c("pos") + 145), (c("p") - 10, c("p") + 10), 256)
     return met.groupBy("bp_num").agg(F.expr("sum(least(p + 10, pos + 145) - greatest(p - 10, pos + 5) + 1) div 2 div 21").alias("coverage"))
 
@@ -133,10 +133,10 @@ def a19(spark, d):
     return merged.orderBy(c("width").desc(), "chr", "s").limit(20)
 
 
-@query("j16_interval_intersect", "SELECT a.region_id AS id_a, b.region_id AS id_b, a.chr, greatest(a.start_pos, b.start_pos) AS s, least(a.end_pos, b.end_pos) AS e FROM v_regions a JOIN v_regions b ON a.chr = b.chr AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos WHERE a.region_id % 2 = 0 AND b.region_id % 2 = 1")
+@query("j16_interval_intersect", "SELECT a.region_id AS id_a, b.region_id AS id_b, a.chr, greatest(a.start_pos, b.start_pos) AS s, least(a.end_pos, b.end_pos) AS e FROM v_regions a JOIN (SELECT region_id, chr, start_pos + 200 AS start_pos, end_pos + 900 AS end_pos FROM v_regions) b ON a.chr = b.chr AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos")
 def j16(spark, d):
-    a, b = regions(spark, d, "a_").where("a_region_id % 2 = 0"), regions(spark, d, "b_").where("b_region_id % 2 = 1")
-    met = iv.overlap_join(a, b, [("a_chr", "b_chr")], near("a_"), near("b_"), 512)
+    other = regions(spark, d, "b_").withColumn("b_start_pos", c("b_start_pos") + 200).withColumn("b_end_pos", c("b_end_pos") + 900)
+    met = iv.overlap_join(regions(spark, d, "a_"), other, [("a_chr", "b_chr")], near("a_"), near("b_"), 1024)
     return met.select(c("a_region_id").alias("id_a"), c("b_region_id").alias("id_b"), c("a_chr").alias("chr"), F.greatest("a_start_pos", "b_start_pos").alias("s"), F.least("a_end_pos", "b_end_pos").alias("e"))
 
 
@@ -159,10 +159,10 @@ def j19(spark, d):
     return met.groupBy("bp_num").agg(F.array_join(F.array_sort(F.collect_set("g_label")), ",").alias("labels"))
 
 
-@query("d8_labelled_union", "SELECT chr, source, count(*) AS n, CAST(sum(end_pos - start_pos) AS BIGINT) AS width FROM (SELECT chr, start_pos, end_pos, 'parts' AS source FROM v_regions UNION ALL SELECT chr, start_pos, end_pos + 10, 'slop' FROM v_regions WHERE region_id % 3 = 0) GROUP BY chr, source")
+@query("d8_labelled_union", "SELECT chr, source, count(*) AS n, CAST(sum(end_pos - start_pos) AS BIGINT) AS width FROM (SELECT chr, start_pos, end_pos, 'parts' AS source FROM v_regions UNION ALL SELECT chr, start_pos, end_pos + 10, 'slop' FROM v_regions) GROUP BY chr, source")
 def d8(spark, d):
     a = view(spark, d, "v_regions").select("region_id", "chr", "start_pos", "end_pos")
-    both = a.withColumn("source", F.lit("parts")).unionByName(a.where("region_id % 3 = 0").withColumn("end_pos", c("end_pos") + 10).withColumn("source", F.lit("slop")))
+    both = a.withColumn("source", F.lit("parts")).unionByName(a.withColumn("end_pos", c("end_pos") + 10).withColumn("source", F.lit("slop")))
     return both.groupBy("chr", "source").agg(F.count("*").alias("n"), F.sum(c("end_pos") - c("start_pos")).alias("width"))
 
 

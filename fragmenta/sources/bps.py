@@ -76,7 +76,7 @@ def lines(calls: DataFrame) -> DataFrame:
     """Calls as text lines: blanks restored, somatic odds at most 99."""
     columns = []
     for name in CORE:
-        x = F.least(F.col(name), F.lit(99.0)) if name == "somlod" else F.col(name)
+        x = F.when(F.col(name) > 99, 99.0).otherwise(F.col(name)) if name == "somlod" else F.col(name)
         text = x.cast("string")
         columns.append(F.coalesce(text, F.lit(str(UNSET[name]) if name in UNSET else BLANK.get(name, ""))))
     blocks = [F.array_join("samples", "\t")] if "samples" in calls.columns else []
