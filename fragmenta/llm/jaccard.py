@@ -376,13 +376,77 @@ def _among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(_alike("_x", "_y")).select("a", "b")
 
 
-def _rest(docs: DataFrame, core: DataFrame, roots: DataFrame, bits: int, wide: bool) -> DataFrame:
-    """Pairs of core sets of different classes that share a subset: all of them, each once a bucket."""
-    labelled = core.select("id").join(roots.select(F.col("id").alias("_r"), "root"), F.col("id") == F.col("_r"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    labelled = written(labelled, "core")
+def _shared_enough(sets: DataFrame) -> DataFrame:
+    """(id, n, lone) of the sets that may link with any other of ``sets``: 3/4 of their shingles stand in another one too."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), ident)), pa.array(t)], ["id", "t"])
+
+    each = sets.mapInArrow(explode, "id long, t long")
+    alone = each.groupBy("t").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy(F.col("id").alias("_i")).agg(F.count("*").alias("lone"))
+    sizes = sets.select("id", F.expr("octet_length(shingles) div 8").alias("n"))
+    return sizes.join(alone, F.col("id") == F.col("_i"), "left").select("id", "n", F.coalesce("lone", F.lit(0).cast("long")).alias("lone")).where("4 * (n - lone) >= 3 * n")
+
+
+#: Sets of a block of the last comparison.
+BLOCK = 512
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """Links (a, b) between sets of different classes of one pair of blocks, none that others imply.
+
+    Intersections are products of 0/1 matrices over the shingles that both blocks hold.
+    """
+    side, ids, roots = rows["side"].to_numpy(), rows["id"].to_numpy(), rows["root"].to_numpy()
+    sets = [np.frombuffer(x, U) for x in rows["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    left = np.flatnonzero(side != 1)
+    right = np.flatnonzero(side != 0)  # side 2: a block with itself
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    tokens, which = np.unique(flat, return_inverse=True)
+    both = (np.bincount(which, minlength=len(tokens)) > 1).nonzero()[0]
+    column = np.full(len(tokens), -1)
+    column[both] = np.arange(len(both))
+    column = column[which]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, len(both), 2048):
+        mine = (column >= k) & (column < k + 2048)
+        dense = np.zeros((len(sets), 2048), np.float32)
+        dense[owner[mine], column[mine] - k] = 1
+        total += dense[left] @ dense[right].T
+    union = size[left][:, None] + size[right][None, :] - total
+    i, j = np.nonzero((100 * total >= 75 * union) & (roots[left][:, None] != roots[right][None, :]))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        p, q = find(int(roots[x])), find(int(roots[y]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(ids[x]), int(ids[y])))
+    return pa.table([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+
+
+def _rest(docs: DataFrame, core: DataFrame, links: DataFrame, bits: int, wide: bool) -> DataFrame:
+    """All links so far and those among core sets that join different classes.
+
+    Core sets share subsets with crowds. Those with too many shingles of their own drop out. The rest
+    form clusters over their shared subsets. In each subset's crowd the set with the fewest shingles
+    of its own is the centre, and all are compared with it; most of a family is then one class. What
+    is outside its cluster's largest class is compared with all of the cluster, by blocks.
+    """
     kind = np.int64 if wide else np.uint32
-    emitted = _emit(_only(docs, labelled), bits, wide, False)
-    roots_of = labelled.select(F.col("id").alias("_c"), "root")
+    sets = written(_sets_of(_only(docs, core)).dropDuplicates(["id"]), "core-shingles")
+    kept = written(_shared_enough(sets), "core-kept")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,21 +454,38 @@ def _rest(docs: DataFrame, core: DataFrame, roots: DataFrame, bits: int, wide: b
                 s, i = np.frombuffer(signs, np.uint32), np.frombuffer(ids, kind).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((np.int64(bucket) << 32) | s.astype(np.int64)), pa.array(i)], ["sign", "id"])
 
-    shared = emitted.mapInArrow(explode, "sign long, id long").join(roots_of, F.col("id") == F.col("_c")).select("sign", "id", "root")
-    mixed = shared.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("sign").alias("_s"))
-    open_ = shared.join(mixed, F.col("sign") == F.col("_s"), "left_semi")
-
-    def cross(rows: pa.Table) -> pa.Table:
-        ids, root = rows["id"].to_numpy(), rows["root"].to_numpy()
-        order = np.argsort(root, kind="stable")
-        ids, root = ids[order], root[order]
-        after = np.searchsorted(root, root, "right")
-        n = len(ids) - after
-        a = np.repeat(ids, n)
-        b = ids[np.repeat(after, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return open_.groupBy("sign").applyInArrow(cross, "a long, b long").distinct()
+    shared = _emit(_only(docs, kept), bits, wide, False).mapInArrow(explode, "sign long, id long")
+    lone = kept.select(F.col("id").alias("_k"), F.struct("lone", "id").alias("rank"))
+    ranked = written(shared.join(lone, F.col("id") == F.col("_k")).select("sign", "id", "rank"), "core-signs")
+    centres = ranked.groupBy("sign").agg(F.min("rank").alias("rank"), F.count("*").alias("k")).where("k > 1").select(_own("sign").alias("_s"), F.col("rank.id").alias("b"))
+    stars = written(ranked.withColumn("_o", _own("sign")).join(centres, F.col("_o") == F.col("_s")).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "core-stars")
+
+    def with_root(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
+        found = roots.select(F.col("id").alias(f"_{name}"), F.col("root").alias(name))
+        return df.withColumn("_j", _own(key)).join(found, F.col("_j") == _own(f"_{name}"), "left").drop("_j", f"_{name}").withColumn(name, F.coalesce(name, key))
+
+    before = components(links)
+    open_ = with_root(with_root(stars, before, "a", "_ra"), before, "b", "_rb").where("_ra <> _rb").select("a", "b")
+    size = kept.select("id", "n")
+    links = written(links.unionByName(verify(_among(open_, size), docs)), "links")
+    after = components(links)
+    cluster = components(stars)
+    placed = written(with_root(with_root(kept.select("id"), cluster, "id", "cluster"), after, "id", "root"), "core-placed")
+    classes = placed.groupBy("cluster", "root").agg(F.count("*").alias("k"))
+    main = classes.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+    main = main.select(F.col("cluster").alias("_c"), "main", F.ceil(F.col("most") / BLOCK).alias("inside"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("outside"))
+    put = placed.withColumn("_o", _own("cluster")).join(main, F.col("_o") == _own("_c"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    inner = put.where("root = main").select("id", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), (F.col("outside") + block("inside")).alias("j"), F.lit(1).alias("side"))
+    own = put.where("root <> main").withColumn("u", block("outside"))
+    pairs = F.concat(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("outside") + F.col("inside") - 1), lambda k: F.struct(F.least("u", k).alias("i"), F.greatest("u", k).alias("j"), F.when(k == F.col("u"), 2).when(k > F.col("u"), 0).otherwise(1).alias("side")))
+    )
+    outer = own.select("id", "root", "cluster", F.explode(pairs).alias("p")).select("id", "root", "cluster", "p.i", "p.j", "p.side")
+    dealt = inner.unionByName(outer)
+    blobs = sets.select(_own("id").alias("_b"), "shingles")
+    met = dealt.withColumn("_o", _own("id")).join(blobs, F.col("_o") == F.col("_b")).select("cluster", "i", "j", "side", "id", "root", "shingles")
+    return links.unionByName(written(met.groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long"), "core-links"))
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,8 +516,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = _with_crowded(hard.withColumnRenamed("crowded", "before"), again)
     core = written(left.where(_short((2, "full"), (-1, "single"), (-1, "need"), (-2, "before"), (-1, "crowded"))).select("id"), "core-sets")
     if not core.isEmpty():
-        more = verify(_rest(rows, core, components(links), bits, wide), rows)
-        links = links.unionByName(more)
+        links = _rest(rows, core, links, bits, wide)
     roots = components(links)
     root_of = reps.join(roots.select(F.col("id").alias("_r"), "root"), F.col("rep") == F.col("_r"), "left").select("h1", "h2", F.col("n").alias("_n"), "copies", "rep", F.coalesce("root", "rep").alias("component"))
     moved = root_of.where("copies > 1 OR component <> rep").select(F.concat_ws("/", "h1", "h2", "_n").alias("_k"), "component")

@@ -221,8 +221,9 @@ def family_rows(seed):
     return [(k * 7 + 3, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_classes(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 5)])
+def test_jaccard_classes(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = family_rows(seed)
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == brute_classes(rows)
