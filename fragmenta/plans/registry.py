@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fragmenta.plans import q_calls, q_dedup, q_filters, q_intervals, q_kernels, q_stats, q_text  # noqa: F401  they register themselves
+from fragmenta.plans import q_calls, q_dedup, q_filters, q_formats, q_intervals, q_kernels, q_stats, q_text  # noqa: F401  they register themselves
 from fragmenta.plans.core import ORACLES, QUERIES, Query
 
 FLAGSHIP = q_dedup.pass_somatic
