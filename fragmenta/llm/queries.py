@@ -22,6 +22,18 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_classes(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.u, r.root FROM r JOIN e ON e.v = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM r WHERE r.id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file is; it is the same on every machine."""
     import public_tokenizers
@@ -111,4 +123,4 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_crf": op1_quality_crf, "op2_matroska": op2_matroska, "op3_jaccard_join": op3_jaccard_join, "op4_token_archives": op4_token_archives, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_url_lists": op7_url_lists, "op8_decontaminate": op8_decontaminate, "op9_soft_mixing": op9_soft_mixing, "op10_lm_scores": op10_lm_scores}
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_lists": OP7_SQL}
+ORACLE_SQL = {"op3_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_lists": OP7_SQL}
