@@ -17,6 +17,8 @@ Equal sets are one set throughout. Nothing is collected, and no partner or candi
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.llm import _text
-from fragmenta.llm._shared import written
+from fragmenta.llm._shared import shared_folder, written
 
 WORDS = 5
 #: Segments of a band against the most differences in it; sets of a signature that are still all compared.
@@ -264,6 +266,19 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table in the shared folder, bucketed and sorted by id: later joins on ids move no text."""
+    spark = docs.sparkSession
+    name = f"sets_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = docs.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    out.bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
+    del docs, out
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # what the join shuffled can go
+    return spark.table(name)
+
+
 def _sets_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,17 +521,18 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wide = least < 0 or most >= 1 << 32
     bits = max(6, int(np.ceil(np.log2(max(1, shingles * 8 / 3e6)))))  # buckets of about 3 MB
     first = reps.where("n >= 3").select(F.col("rep").alias("id"))
-    met = written(_meet(_emit(_only(rows, first), bits, wide, False), wide, False), "met")
+    texts = _dealt(_only(rows, first))
+    met = written(_meet(_emit(texts, bits, wide, False), wide, False), "met")
     own = whole.where("n >= 3").join(first.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left_semi").drop("h1", "h2").dropDuplicates(["id"])
     about = written(_with_crowded(own, met), "about")
     hard = written(about.where(_short((1, "full"), (-1, "need"), (-1, "crowded"))), "hard")
-    again = written(_meet(_emit(_only(rows, hard), bits, wide, True), wide, True), "met-again")
+    again = written(_meet(_emit(_only(texts, hard), bits, wide, True), wide, True), "met-again")
     near = _among(met.where("b IS NOT NULL AND star"), hard).unionByName(_among(again.where("b IS NOT NULL AND NOT star"), hard))
-    links = verify(_plausible(met, about).unionByName(near), rows)
+    links = verify(_plausible(met, about).unionByName(near), texts)
     left = _with_crowded(hard.withColumnRenamed("crowded", "before"), again)
     core = written(left.where(_short((2, "full"), (-1, "single"), (-1, "need"), (-2, "before"), (-1, "crowded"))).select("id"), "core-sets")
     if not core.isEmpty():
-        links = _rest(rows, core, links, bits, wide)
+        links = _rest(texts, core, links, bits, wide)
     roots = components(links)
     root_of = reps.join(roots.select(F.col("id").alias("_r"), "root"), F.col("rep") == F.col("_r"), "left").select("h1", "h2", F.col("n").alias("_n"), "copies", "rep", F.coalesce("root", "rep").alias("component"))
     moved = root_of.where("copies > 1 OR component <> rep").select(F.concat_ws("/", "h1", "h2", "_n").alias("_k"), "component")
