@@ -74,9 +74,10 @@ def is_valid(chr1: Column, chr2: Column, strand1: Column, strand2: Column, end1:
 
 
 def second_level(members: DataFrame, keys: list[str], gap: int = GAP) -> DataFrame:
-    """Each cluster split again by mate strand and gaps of mate positions: adds ``mate_island``."""
-    marked = islands(members, [*keys, "mate_strand"], "mate_pos", ["qname", "mate"], gap)
-    return marked.withColumnRenamed("island", "mate_island") if "island" not in members.columns else marked
+    """Each cluster (``keys`` and its ``island``) split again by mate strand and gaps of mate positions: adds ``mate_island``."""
+    first = members.withColumnRenamed("island", "_first")
+    split = islands(first, [*keys, "_first", "mate_strand"], "mate_pos", ["qname", "mate"], gap)
+    return split.withColumnRenamed("island", "mate_island").withColumnRenamed("_first", "island")
 
 
 def best_cluster(bps: DataFrame, clusters: DataFrame, pad: int = PAD) -> DataFrame:

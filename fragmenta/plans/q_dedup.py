@@ -143,9 +143,9 @@ def w1_capped(spark, d):
 
 @query("w2_mate_islands", f"WITH {ISLAND}, m AS (SELECT *, CASE WHEN mate_pos - lag(mate_pos) OVER x <= 150000 THEN 0 ELSE 1 END AS t FROM j WINDOW x AS (PARTITION BY chr, strand, island, mate_strand ORDER BY mate_pos, qname, mate)), q AS (SELECT *, sum(t) OVER (PARTITION BY chr, strand, island, mate_strand ORDER BY mate_pos, qname, mate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mi FROM m) SELECT chr, strand, island, mate_strand, CAST(mi AS BIGINT) AS mate_island, count(*) AS n FROM q GROUP BY ALL HAVING count(*) >= 2")
 def w2(spark, d):
-    marked = cluster.islands(discordant(spark, d), ["chr", "strand"], "p", TIE).withColumnRenamed("island", "first")
-    split = cluster.islands(marked, ["chr", "strand", "first", "mate_strand"], "mate_pos", ["qname", "mate"], 150000)
-    return split.groupBy("chr", "strand", c("first").alias("island"), "mate_strand", c("island").alias("mate_island")).agg(F.count("*").alias("n")).where("n >= 2")
+    marked = cluster.islands(discordant(spark, d), ["chr", "strand"], "p", TIE)
+    split = cluster.second_level(marked, ["chr", "strand"], 150000)
+    return split.groupBy("chr", "strand", "island", "mate_strand", "mate_island").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @query("a11_cluster_summary", f"WITH {ISLAND} SELECT chr, strand, island, count(*) AS n, CAST(sum(CASE WHEN sample LIKE 't%' THEN 1 ELSE 0 END) AS BIGINT) AS tcount, CAST(sum(CASE WHEN sample LIKE 'n%' THEN 1 ELSE 0 END) AS BIGINT) AS ncount, min(pos) AS start1, max(pos) + 151 AS end1, min(mate_pos) AS start2, max(mate_pos) + 151 AS end2, CAST(floor(avg(mapq)) AS INT) AS mapq, round(avg(nm), 6) AS nm FROM j GROUP BY chr, strand, island HAVING count(*) >= 2")
