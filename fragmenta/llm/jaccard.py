@@ -161,8 +161,25 @@ def describe_sets(docs: DataFrame) -> DataFrame:
 _KEY, _DELETED, _BAND = np.uint32(0xFFFFFFF8 | 3), np.uint32(4), np.uint32(3)
 
 
-def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool) -> DataFrame:
-    """Signatures of (id, text) by bucket: (bucket, signs, ids); with ``deletions`` their one-deletion neighbourhoods too."""
+def _prefixes(sets: Sets, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) of the first shingles, by hash, of the ``thin`` sets.
+
+    Sets that link share at least 3/4 of each; so there is a shared one among the first n - ceil(3n/4) + 1 of both.
+    """
+    one = np.flatnonzero(thin)
+    n = sets.sizes[one]
+    k = n - (3 * n + 3) // 4 + 1
+    of = np.repeat(one, k)
+    at = np.repeat(sets.first[one] - np.cumsum(k) + k, k) + np.arange(k.sum())
+    with np.errstate(over="ignore"):
+        return of, _text.mix(sets.shingles[at] * U(5) + U(11))
+
+
+def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool, prefixes: bool = False) -> DataFrame:
+    """Signatures of (id, text) by bucket: (bucket, signs, ids); with ``deletions`` their one-deletion neighbourhoods too.
+
+    With ``prefixes`` sets whose subsets a partner's differences may all spoil have signatures of first shingles besides.
+    """
     kind = np.int64 if wide else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +197,12 @@ def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool) -> DataFrame:
             names = batch.column(0).to_numpy()
             for row, data, bounds in _text.chunks(batch.column(1)):
                 sets = shingle_sets(data, bounds)
+                thin = np.zeros(len(sets.sizes), bool)
                 for back in (0, 1):
                     s = subsets(sets, back)
+                    if prefixes and len(s.of):
+                        one, start, full = np.unique(s.of, return_index=True, return_counts=True)
+                        thin[one] |= full < need(sets.sizes[one], s.band[start])
                     of, band, sign, flag = s.of, s.band, s.sign, np.zeros(len(s.of), np.uint32)
                     if deletions and len(s.of):
                         which = np.repeat(np.arange(len(s.of)), s.size)
@@ -192,6 +213,10 @@ def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool) -> DataFrame:
                     short = ((sign & U(0xFFFFFFFF)).astype(np.uint32) & np.uint32(0xFFFFFFF8)) | flag | (band & 3).astype(np.uint32)
                     held.append(((sign >> U(64 - bits)).astype(np.int64), short, names[row + of].astype(kind)))
                     size += len(of)
+                if thin.any():
+                    of, sign = _prefixes(sets, thin)
+                    held.append(((sign >> U(64 - bits)).astype(np.int64), (sign & U(0xFFFFFFF8)).astype(np.uint32), names[row + of].astype(kind)))
+                    size += len(of)
                 if size > 1 << 20:
                     yield packed()
                     held, size = [], 0
@@ -455,7 +480,8 @@ def _rest(docs: DataFrame, core: DataFrame, links: DataFrame, bits: int, wide: b
     """All links so far and those among core sets that join different classes.
 
     Core sets share subsets with crowds. Those with too many shingles of their own drop out. The rest
-    form clusters over their shared subsets. In each subset's crowd the set with the fewest shingles
+    form clusters over their shared subsets, and where two sets that link may have none in common, over
+    their first shingles. In each crowd the set with the fewest shingles
     of its own is the centre, and all are compared with it; most of a family is then one class. What
     is outside its cluster's largest class is compared with all of the cluster, by blocks.
     """
@@ -469,7 +495,7 @@ def _rest(docs: DataFrame, core: DataFrame, links: DataFrame, bits: int, wide: b
                 s, i = np.frombuffer(signs, np.uint32), np.frombuffer(ids, kind).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((np.int64(bucket) << 32) | s.astype(np.int64)), pa.array(i)], ["sign", "id"])
 
-    shared = _emit(_only(docs, kept), bits, wide, False).mapInArrow(explode, "sign long, id long")
+    shared = _emit(_only(docs, kept), bits, wide, False, prefixes=True).mapInArrow(explode, "sign long, id long")
     lone = kept.select(F.col("id").alias("_k"), F.struct("lone", "id").alias("rank"))
     ranked = written(shared.join(lone, F.col("id") == F.col("_k")).select("sign", "id", "rank"), "core-signs")
     centres = ranked.groupBy("sign").agg(F.min("rank").alias("rank"), F.count("*").alias("k")).where("k > 1").select(_own("sign").alias("_s"), F.col("rank.id").alias("b"))

@@ -229,6 +229,39 @@ def test_jaccard_classes(spark, seed, block, monkeypatch):
     assert out == brute_classes(rows)
 
 
+def test_jaccard_short_families(spark):
+    """Crowds of short texts that are one text with one or two more words: their subsets may all differ."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(45):
+        base = [f"b{k}x{i}" for i in range(7 + k % 2)]
+        family = [base] + [[*base, f"v{rng.randrange(1 << 30)}"] for _ in range((20, 60, 200)[k % 3])]
+        for w in family:
+            want[len(rows)] = (len(w) - 4, len(rows) - family.index(w))
+            rows.append((len(rows), " ".join(w)))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == want
+
+
+def _one_segment(texts):
+    """The texts whose shingles all fall in one segment of band 1, and that segment."""
+    (_, data, bounds), = _text.chunks(pa.array(texts), 1 << 62)
+    sets = jaccard.shingle_sets(data, bounds)
+    parts = [(sets.shingles[a:b] >> np.uint64(32)) * np.uint64(jaccard.SEGMENTS[1]) >> np.uint64(32) for a, b in zip(sets.first[:-1], sets.first[1:])]
+    return [(t, int(p[0])) for t, p in zip(texts, parts) if (p == p[0]).all()]
+
+
+def test_jaccard_sets_of_one_segment(spark):
+    """Six shingles in one segment and two more there: two differences spoil the subset and its deletions."""
+    base, segment = _one_segment([" ".join(f"s{k}y{i}" for i in range(10)) for k in range(40_000)])[0]
+    long = [t for t, s in _one_segment([f"{base} p{k} q{k}" for k in range(3_000)]) if s == segment][:25]
+    assert len(long) == 25
+    for texts in ([base, long[0]], [base, *long]):
+        rows = list(enumerate(texts))
+        out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out == brute_classes(rows)
+
+
 def test_jaccard_odd_rows(spark):
     out = jaccard.join_classes(odd(spark)).collect()
     assert len(out) == len(ODD)
