@@ -24,6 +24,8 @@ from fragmenta.llm._shared import written
 
 #: Positions that each mask looks at: eight in a span of 8 to 13 tokens.
 MASKS = ("11111111", "110110110011", "1011011010101", "1100111001101")
+#: Lighter masks for the passages of fewer than SHORT tokens, of which a few substitutions spoil all windows of eight.
+LIGHT, SHORT = ("11111", "110111", "111011", "1101011", "1011011"), 40
 #: Fewest matching tokens of an overlap, and their least share of its tokens; passages of fewer tokens must match whole.
 LEAST, IDENTITY = 12, 0.75
 #: Passages and characters of passages in one block.
@@ -47,6 +49,11 @@ class Seeds:
             offsets = [i for i, c in enumerate(mask) if c == "1"]
             place, hashes = _text.windows(found, offsets)
             self._add(offsets, place, hashes)
+        for mask in LIGHT:
+            offsets = [i for i, c in enumerate(mask) if c == "1"]
+            place, hashes = _text.windows(found, offsets)
+            own = np.diff(self.first)[item[place]] < SHORT
+            self._add(offsets, place[own], hashes[own])
         # passages shorter than the longest mask are one window of all their tokens
         sizes = np.diff(self.first)
         for n in sorted({int(x) for x in sizes if 0 < x < max(map(len, masks))}):
@@ -90,7 +97,13 @@ class Seeds:
             b = min(high, int(found.first[t + 1]) - shift)
             same = self.tokens[a:b] == found.hash[a + shift : b + shift]
             got = _segment(same, identity)
-            if got and (got[2] >= least or got[2] == high - low < least):
+            if got and got[2] < min(least, high - low):
+                got = _longest(same, identity)
+                whole = b - a == high - low >= least and same.sum() >= identity * len(same)
+                got = (0, len(same), int(same.sum())) if whole and got[2] < least else got
+                if got[2] < least and not whole:
+                    continue
+            if got:
                 x = (got[2], -(a + got[0] + shift), -(a + got[0]), got[1] - got[0])
                 if x > best.get((t, i), (0,)):
                     best[t, i] = x
@@ -109,14 +122,32 @@ def _segment(same: np.ndarray, identity: float) -> tuple[int, int, int] | None:
     return begin, end, int(same[begin:end].sum())
 
 
+def _longest(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """The run with most matches among those whose share of matches is at least ``identity``; then the shortest: (from, to, matches)."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - identity, -identity))])
+    matched = np.concatenate([[0], np.cumsum(same)])
+    # only prefix minima can begin it: an earlier place with no greater total has no fewer matches behind it
+    begins = np.flatnonzero(total < np.concatenate([[np.inf], np.minimum.accumulate(total)[:-1]]))
+    ends = np.arange(len(total))
+    first = begins[np.searchsorted(-total[begins], -total - 1e-9)[:, None].clip(max=len(begins) - 1)][:, 0]
+    n = np.where(first < ends, matched[ends] - matched[first], 0)
+    end = int(np.argmax(n))
+    begin = int(first[end])
+    if n[end]:
+        begin += int(np.argmax(same[begin:end]))  # mismatches at the border add nothing
+    return begin, end, int(n[end])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """One row for each document and passage that overlap: id_col and HITS.
 
     Tokens are runs of letters, digits and bytes above 127, A-Z as a-z. An overlap is a run on one
     diagonal with at least ``least`` equal tokens whose matches outweigh mismatches at the rate
-    ``identity``; a passage of fewer tokens must stand whole. Empty and null texts and passages
+    ``identity`` or balance them; a passage that stands in its whole span overlaps at that rate even
+    where that is fewer equal tokens; one of fewer than ``least`` tokens must stand unchanged. Empty and null texts and passages
     overlap with nothing. Repeated documents are each reported; repeated passages each match.
-    item_id null is allowed; the place is of the best overlap: most matches, then earliest.
+    item_id null is allowed; the place is of the best overlap: most matches, then earliest. Seeds find
+    all runs of eight equal tokens, of five in passages of fewer than SHORT, and most of the others.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -293,6 +293,33 @@ def test_decontamination(spark):
     assert decontam.find_overlaps(empty(spark), benchmark).count() == 0
 
 
+def test_decontamination_short_passages(spark):
+    """Whole short passages with a few substituted words, wherever these stand."""
+    rng = random.Random(2)
+    token = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items, rows = [], []
+    for size, changes in ((12, 1), (13, 1), (15, 1), (15, 2), (17, 2), (20, 3)):
+        for _ in range(25):
+            item = [token() for _ in range(size)]
+            text = item.copy()
+            for k in rng.sample(range(size), changes):
+                text[k] = token()
+            rows.append((len(items), " ".join([token() for _ in range(9)] + text + [token() for _ in range(9)])))
+            items.append((len(items), " ".join(item)))
+    hits = decontam.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in hits) == [(k, k) for k in range(len(items))]
+    assert all(r.identity >= decontam.IDENTITY for r in hits)
+
+
+def test_longest_run_equals_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 30)) < rng.choice([0.5, 0.75, 0.9])
+        most = max((int(same[a:b].sum()) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a:b].mean() >= 0.75), default=0)
+        a, b, n = decontam._longest(same, 0.75)
+        assert n == most and (n == 0 or (same[a:b].sum() == n and same[a:b].mean() >= 0.75))
+
+
 def test_crf_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     sizes = [1, 4, 2, 5]
