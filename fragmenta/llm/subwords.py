@@ -9,6 +9,7 @@ tokenizer, each distinct pre-token of a chunk once.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -94,18 +95,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        found = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in found.values()):
+            raise ValueError("only plain added tokens can be split at")
+        self.added = {t.content: i for i, t in found.items()}
+        self.literals = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.keys = np.zeros(SLOTS, np.uint64)
         self.counts = np.zeros(SLOTS, np.uint8)
         self.ids = np.zeros((SLOTS, ROOM), np.uint16 if self.size <= 65536 else np.uint32)
 
-    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, texts' id bounds) of a chunk of UTF-8 texts."""
+    def encode(self, data: np.ndarray, bounds: np.ndarray, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, texts' id bounds) of a chunk of UTF-8 texts; with ``added`` the literals of added tokens have their ids, as by the library's default."""
         whole = data.tobytes().decode("utf-8", "replace")
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         lead = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
         bounds = lead[bounds]
-        start = pieces(codes, bounds)
+        marks = np.zeros((0, 2), np.int64)
+        if added and self.literals.search(whole):
+            spans = (m.span() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for m in self.literals.finditer(whole, a, b))
+            marks = np.array(list(spans), np.int64).reshape(-1, 2)
+        start = pieces(codes, np.sort(np.concatenate([bounds, marks.ravel()])) if len(marks) else bounds)
+        if len(marks):  # a literal is one piece
+            mark = np.searchsorted(marks[:, 0], start, "left") - 1
+            start = start[(mark < 0) | (start >= marks[mark, 1])]
         if not len(start):
             return np.zeros(0, self.ids.dtype), np.zeros(len(bounds), np.int64)
         end = np.append(start[1:], len(codes))
@@ -113,6 +126,8 @@ class Encoder:
             sums = np.zeros(len(codes) + 1, np.uint64)
             np.cumsum(_tables()[1][codes] * _text._power(len(codes), False), out=sums[1:])
             hashes = _text.mix((sums[end] - sums[start]) * _text._power(len(codes) + 1, True)[start] + (end - start).astype(np.uint64))
+        if len(marks):
+            hashes[np.isin(start, marks[:, 0])] ^= np.uint64(0xADDED000ADDED000)
         hashes |= np.uint64(1)  # an empty slot has the key 0
         slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
         known = self.keys[slot] == hashes
@@ -124,6 +139,8 @@ class Encoder:
             _, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
             one = miss[first]
             got = [e.ids for e in self.tokenizer.encode_batch_fast([whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], add_special_tokens=False)]
+            if len(marks):
+                got = [[self.added[whole[a:b]]] if lit else g for g, a, b, lit in zip(got, start[one].tolist(), end[one].tolist(), np.isin(start[one], marks[:, 0]).tolist(), strict=True)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             short = sizes <= ROOM
             table = np.zeros((len(got), ROOM), self.ids.dtype)
@@ -160,8 +177,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_column(column: pa.Array, path: str):
+def encode_column(column: pa.Array, path: str, added: bool = False):
     """(first row, ids, id bounds) of runs of texts."""
     own = encoder(path)
     for row, data, bounds in _text.chunks(column):
-        yield row, *own.encode(data, bounds)
+        yield row, *own.encode(data, bounds, added)

@@ -75,7 +75,7 @@ def encode_sorted(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             blobs, counts = [], []
-            for _, ids, bounds in subwords.encode_column(batch.column(1), tokenizer):
+            for _, ids, bounds in subwords.encode_column(batch.column(1), tokenizer, added=True):
                 end = np.array([END], ids.dtype).tobytes()
                 blobs += [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 counts.append(np.diff(bounds) + 1)

@@ -126,6 +126,22 @@ def test_subwords_equal_the_library():
     assert data.tobytes() == "".join(texts).encode()
 
 
+def test_added_tokens_equal_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    own = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    alphabet = ["a", "'", "s", "'ll", " ", "  ", "\n", "é", "9", "中", "!", "<|endoftext|>", "<|endo", "ftext|>", "<", "|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(1500)] + ["a <|endoftext|> b", "<|endoftext|>", "<|endo", "ftext|>", ""]
+    got = [ids[b[i] : b[i + 1]].tolist() for _, ids, b in subwords.encode_column(pa.array(texts), path, added=True) for i in range(len(b) - 1)]
+    assert got == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    rows = list(enumerate(texts[-40:]))
+    out = sorted(tokenfile.read_archives(tokenfile.write_archives(spark.createDataFrame(rows, "doc_id long, text string"), path)).collect(), key=lambda r: r.doc_id)
+    want = [[*own.encode(t, add_special_tokens=False).ids, 2] for _, t in rows]
+    assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
 @given(st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1]), max_size=50))
 @settings(max_examples=40, deadline=None)
 def test_byte_codes(values):
