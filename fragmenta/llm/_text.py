@@ -1,8 +1,9 @@
 """Words of many texts at once, found and hashed over the bytes of an Arrow column.
 
-A batch's texts lie one behind the other in one buffer. A prefix sum of byte values times powers
-of an odd number gives every word's polynomial hash modulo 2**64 from two places, so no word
-becomes a Python object.
+A batch's texts lie one behind the other in one buffer. All words' first eight bytes are mixed
+into their hashes at once, then the next eight of those that have more, and so on; a step is a
+bijection of what it mixes in, so words of up to eight bytes and one length never collide, and no
+two words do by the form of their letters. Only words over LONGEST bytes become Python objects.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 PRIME = U(0x9E3779B97F4A7C15)
-_UNPRIME = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words of more bytes are hashed one by one.
+LONGEST = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,20 +35,36 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
-with np.errstate(over="ignore"):
-    VALUES = mix(np.arange(1, 257, dtype=U) * PRIME)[FOLD]  # of each byte, A-Z as a-z
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
-_powers = {True: np.ones(1, U), False: np.ones(1, U)}
 
+def block(data: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes of spans as numbers, zeros beyond the ``left`` bytes of each; ``data`` has eight bytes to spare."""
+    found = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[start]
+    return found & _TAILS[np.minimum(left, 8)]
 
-def _power(n: int, inverse: bool) -> np.ndarray:
-    """The first n powers; kept between batches, and only for as long as the longest chunk."""
-    have = _powers[inverse]
-    if len(have) < n:
-        steps = np.full(max(n, 1 << 18), _UNPRIME if inverse else PRIME, U)
-        steps[0] = 1
-        _powers[inverse] = have = np.multiply.accumulate(steps)
-    return have[:n]
+
+def spare(data: np.ndarray) -> np.ndarray:
+    """A copy with eight zeros behind it."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    out[: len(data)] = data
+    return out
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans of ``data``, which has eight bytes to spare."""
+    size = end - start
+    with np.errstate(over="ignore"):
+        out = mix(mix(size.astype(U) * PRIME) ^ block(data, start, size))
+        more = np.flatnonzero(size > 8)
+        for k in range(8, LONGEST, 8):
+            if not len(more):
+                break
+            out[more] = mix(out[more] ^ block(data, start[more] + k, size[more] - k))
+            more = more[size[more] > k + 8]
+    for i in more.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed=61)
+    return out
 
 
 class Words(NamedTuple):
@@ -89,11 +108,7 @@ def words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = WHITE)
     ends = ~gap
     ends[:-1] &= gap[1:] | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, U)
-        np.cumsum(VALUES[data] * _power(n, False), out=sums[1:])
-        found = mix((sums[end] - sums[start]) * _power(n, True)[start] + (end - start).astype(U))
-    return Words(data, bounds, start, end, np.searchsorted(start, bounds), found)
+    return Words(data, bounds, start, end, np.searchsorted(start, bounds), hashes_of(spare(FOLD[data]), start, end))
 
 
 _TURNS = mix(np.arange(1, 65, dtype=U) * U(0xD1342543DE82EF95)) | U(1)

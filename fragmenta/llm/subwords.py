@@ -1,9 +1,9 @@
 """Subword ids of many texts at once, exactly as the public byte-level tokenizer gives them.
 
 Byte-level BPE never merges over the borders of its pre-tokens, so equal pre-tokens have equal
-ids. The pre-tokens of a whole chunk of texts are found by array operations on code points and
-hashed; ids come from a direct-mapped cache of fixed size, and what it lacks is encoded by the
-tokenizer, each distinct pre-token of a chunk once.
+ids. The pre-tokens of a whole chunk of texts are found by array operations on code points; ids
+come from a direct-mapped cache of fixed size that compares a pre-token's bytes, and what it lacks
+is encoded by the tokenizer, each distinct pre-token of a chunk once.
 """
 
 from __future__ import annotations
@@ -17,9 +17,13 @@ import pyarrow as pa
 
 from fragmenta.llm import _text
 
-#: Slots of the cache as a power of two, and ids that a slot has room for; longer pre-tokens are encoded every time.
-BITS, ROOM = 20, 8
+#: Slots of the cache as a power of two, the bytes of a pre-token and the ids that a slot has room for.
+BITS, BYTES, ROOM = 20, 16, 8
 SLOTS = 1 << BITS
+#: Other pre-tokens are kept by their text, so many at most and none over so many characters.
+MOST_LONG, LONG_CHARS = 50_000, 200
+#: Pre-tokens of letters that the tokenizer gets in one text.
+JOINED = 500
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points that the pattern's \s matches (fixed values: the White_Space property).
@@ -28,21 +32,18 @@ SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 _kinds: np.ndarray | None = None
-_values: np.ndarray | None = None
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    global _kinds, _values
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
+    global _kinds
     if _kinds is None:
         kinds = np.full(0x110000, OTHER, np.uint8)
         for c in range(0x110000):
             if (k := unicodedata.category(chr(c))[0]) in "LN":
                 kinds[c] = LETTER if k == "L" else NUMBER
         kinds[SPACES] = SPACE
-        with np.errstate(over="ignore"):
-            _values = _text.mix(np.arange(1, 0x110001, dtype=np.uint64) * _text.PRIME)
         _kinds = kinds
-    return _kinds, _values
+    return _kinds[codes]
 
 
 def pieces(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -50,7 +51,7 @@ def pieces(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64)
-    kinds = _tables()[0][codes]
+    kinds = _kinds_of(codes)
     head = np.zeros(n + 1, bool)
     head[bounds] = True
     space = kinds == SPACE
@@ -100,17 +101,68 @@ class Encoder:
             raise ValueError("only plain added tokens can be split at")
         self.added = {t.content: i for i, t in found.items()}
         self.literals = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
-        self.keys = np.zeros(SLOTS, np.uint64)
+        self.heads, self.tails = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.sizes = np.zeros(SLOTS, np.uint8)  # bytes; 0: an empty slot
         self.counts = np.zeros(SLOTS, np.uint8)
         self.ids = np.zeros((SLOTS, ROOM), np.uint16 if self.size <= 65536 else np.uint32)
+        self.long: dict[str, list[int]] = {}
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)  # a letter stands for a byte
+
+    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, whole: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one behind the other, ids of each) of the pre-tokens from ``start`` to ``end`` of ``size`` bytes.
+
+        Those of letters, with a space before or a line feed put there, are pre-tokens again when they
+        stand in a row, so they are encoded by JOINED; the bytes of the ids tell where each ends.
+        """
+        gap = codes[start] != 0x20
+        plain = (_kinds_of(codes[end - 1]) == LETTER) & (~gap | (_kinds_of(codes[start]) == LETTER))
+        one = np.flatnonzero(plain)
+        parts = [("\n" if g else "") + whole[a:b] for a, b, g in zip(start[one].tolist(), end[one].tolist(), gap[one].tolist(), strict=True)]
+        lists = self._ids_of(["".join(parts[k : k + JOINED]) for k in range(0, len(parts), JOINED)])
+        flat = np.array([i for g in lists for i in g], np.int64)
+        ends, wanted = np.cumsum(self.lengths[flat]), np.cumsum(size[one] + gap[one])
+        last = np.searchsorted(ends, wanted)
+        if len(one) and (last[-1] >= len(ends) or (ends[last] != wanted).any()):
+            raise ValueError("the tokenizer does not split between words")
+        first = np.concatenate([[0], last[:-1] + 1]) + gap[one] if len(one) else last
+        counts = np.zeros(len(start), np.int64)
+        counts[one] = last + 1 - first
+        if plain.all():
+            keep = np.ones(len(flat), bool)
+            keep[first[gap[one]] - 1] = False
+            return flat[keep], counts
+        others = np.flatnonzero(~plain)
+        rest = self._ids_of([whole[a:b] for a, b in zip(start[others].tolist(), end[others].tolist(), strict=True)])
+        counts[others] = np.fromiter(map(len, rest), np.int64, len(rest))
+        place = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), np.int64)
+        out[_ranges(place[one], counts[one])] = flat[_ranges(first, counts[one])]
+        out[_ranges(place[others], counts[others])] = np.array([i for g in rest for i in g], np.int64)
+        return out, counts
+
+    def _long_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens that no slot has room for."""
+        new = list({t for t in texts if t not in self.long})
+        found = dict(zip(new, self._ids_of(new), strict=True))
+        out = [found[t] if t in found else self.long[t] for t in texts]
+        if len(self.long) + len(found) > MOST_LONG:
+            self.long.clear()
+        self.long.update((t, g) for t, g in list(found.items())[:MOST_LONG] if len(t) <= LONG_CHARS)
+        return out
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, texts' id bounds) of a chunk of UTF-8 texts; with ``added`` the literals of added tokens have their ids, as by the library's default."""
         whole = data.tobytes().decode("utf-8", "replace")
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        bounds = lead[bounds]
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        if len(lead) != len(codes):  # not UTF-8: as its repaired form
+            parts = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return self.encode(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), added)
+        byte_of = np.append(lead, len(data))
+        bounds = np.searchsorted(lead, bounds)
         marks = np.zeros((0, 2), np.int64)
         if added and self.literals.search(whole):
             spans = (m.span() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for m in self.literals.finditer(whole, a, b))
@@ -122,35 +174,48 @@ class Encoder:
         if not len(start):
             return np.zeros(0, self.ids.dtype), np.zeros(len(bounds), np.int64)
         end = np.append(start[1:], len(codes))
+        first = byte_of[start]
+        size = byte_of[end] - first
+        padded = _text.spare(data)
+        head, tail = _text.block(padded, first, size), np.zeros(len(start), np.uint64)
+        more = np.flatnonzero(size > 8)
+        tail[more] = _text.block(padded, first[more] + 8, size[more] - 8)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(_tables()[1][codes] * _text._power(len(codes), False), out=sums[1:])
-            hashes = _text.mix((sums[end] - sums[start]) * _text._power(len(codes) + 1, True)[start] + (end - start).astype(np.uint64))
-        if len(marks):
-            hashes[np.isin(start, marks[:, 0])] ^= np.uint64(0xADDED000ADDED000)
-        hashes |= np.uint64(1)  # an empty slot has the key 0
-        slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        known = self.keys[slot] == hashes
+            slot = (_text.mix(_text.mix(head + size.astype(np.uint64)) ^ tail) >> np.uint64(64 - BITS)).astype(np.int64)
+        known = (self.heads[slot] == head) & (self.tails[slot] == tail) & (self.sizes[slot] == size) & (size <= BYTES)
+        literal = np.isin(start, marks[:, 0]) if len(marks) else np.zeros(len(start), bool)
+        known &= ~literal
         counts = np.where(known, self.counts[slot], 0).astype(np.int64)
         rows = self.ids[slot]
         spill: dict[int, list[int]] = {}
         miss = np.flatnonzero(~known)
         if len(miss):
-            _, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            one = miss[first]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], add_special_tokens=False)]
-            if len(marks):
-                got = [[self.added[whole[a:b]]] if lit else g for g, a, b, lit in zip(got, start[one].tolist(), end[one].tolist(), np.isin(start[one], marks[:, 0]).tolist(), strict=True)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            short = sizes <= ROOM
-            table = np.zeros((len(got), ROOM), self.ids.dtype)
-            table[np.arange(ROOM) < np.where(short, sizes, 0)[:, None]] = np.fromiter((i for g in got if len(g) <= ROOM for i in g), self.ids.dtype)
-            keep = np.flatnonzero(short)
+            fits = (size[miss] <= BYTES) & ~literal[miss]
+            short, others = miss[fits], miss[~fits]
+            one, which = _distinct(head[short], tail[short], size[short])
+            one = short[one]
+            got, sizes = self._fresh(whole, codes, start[one], end[one], size[one])
+            place = np.cumsum(sizes) - sizes
+            room = sizes <= ROOM
+            table = np.zeros((len(one), ROOM), self.ids.dtype)
+            table[np.arange(ROOM) < np.where(room, sizes, 0)[:, None]] = got[_ranges(place[room], sizes[room])]
+            keep = np.flatnonzero(room)
             at = slot[one[keep]]
-            self.keys[at], self.counts[at], self.ids[at] = hashes[one[keep]], sizes[keep], table[keep]
-            counts[miss], rows[miss] = sizes[which], table[which]
-            if not short.all():
-                spill = {int(i): got[w] for i, w in zip(miss, which, strict=True) if not short[w]}
+            # of several pre-tokens of one slot the last stays, in all arrays alike
+            last = np.unique(at[::-1], return_index=True)
+            keep, at = keep[len(at) - 1 - last[1]], last[0]
+            self.heads[at], self.tails[at], self.sizes[at] = head[one[keep]], tail[one[keep]], size[one[keep]]
+            self.counts[at], self.ids[at] = sizes[keep], table[keep]
+            counts[short], rows[short] = sizes[which], table[which]
+            if not room.all():
+                far = np.flatnonzero(~room[which])
+                spill = {i: got[place[w] : place[w] + sizes[w]] for i, w in zip(short[far].tolist(), which[far].tolist(), strict=True)}
+            if len(others):
+                plain = others[~literal[others]]
+                spill.update(zip(plain.tolist(), self._long_ids([whole[a:b] for a, b in zip(start[plain].tolist(), end[plain].tolist(), strict=True)]), strict=True))
+                for i in others[literal[others]].tolist():
+                    spill[i] = [self.added[whole[start[i] : end[i]]]]
+                counts[others] = [len(spill[i]) for i in others.tolist()]
         place = np.concatenate([[0], np.cumsum(counts)])
         out = np.empty(place[-1], self.ids.dtype)
         if spill:
@@ -167,6 +232,21 @@ class Encoder:
         return out, place[np.searchsorted(start, bounds)]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of runs of ``n`` from ``start``, one run behind the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _distinct(head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct triple, each place's triple)."""
+    order = np.lexsort((size, tail, head))
+    new = np.ones(len(order), bool)
+    new[1:] = (head[order[1:]] != head[order[:-1]]) | (tail[order[1:]] != tail[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 _encoders: dict[str, Encoder] = {}
 
 

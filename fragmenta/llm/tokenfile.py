@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.llm import subwords
-from fragmenta.llm._shared import shared_folder, written
+from fragmenta.llm._shared import removed, shared_folder, written
 from fragmenta.llm.warc import open_shared
 
 MAGIC = b"FRTK0001"
@@ -67,9 +67,10 @@ def encode_sorted(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """(part, seq, id, n, ids) in the shared folder: part and seq ascend with the document id, nulls first.
 
     ``ids`` are little-endian 16-bit (32-bit for vocabularies over 65,536) with END appended. Null and
-    empty texts are END alone; repeated rows follow each other in the order of their texts.
+    empty texts are END alone. Document ids are whole numbers; rows that share one, or have none, may be
+    dealt over several parts, in the order of their texts' hashes, then texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("by"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -83,7 +84,7 @@ def encode_sorted(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0), pa.array(np.concatenate([*counts, np.zeros(0, np.int64)])), pa.array(blobs, pa.binary())], ["part", "seq", "id", "n", "ids"])
             seq += n
 
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = rows.repartitionByRange("id", "by").sortWithinPartitions("id", "by", "text").select("id", "text")
     return written(dealt.mapInArrow(run, "part int, seq long, id long, n long, ids binary"), "token-ids", "zstd")
 
 
@@ -177,7 +178,9 @@ def write_archives(docs: DataFrame, tokenizer: str, folder: str | None = None, i
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "seq", "path", "docs", "tokens", "bytes"])
 
     listed = written(encoded.mapInArrow(run, "part int, seq long, path string, docs long, tokens long, bytes long"), "token-archives")
+    removed(encoded)
     files = sorted(listed.collect(), key=lambda r: (r.part, r.seq))  # one row a file
+    removed(listed)
     base = np.cumsum([0, *(r.tokens for r in files)])
     return spark.createDataFrame([(r.path, r.docs, r.tokens, r.bytes, int(b)) for r, b in zip(files, base, strict=False)], "path string, docs long, tokens long, bytes long, base long")
 
