@@ -25,7 +25,7 @@ from fragmenta.llm._shared import own_hash, shared_folder, text_or_empty, writte
 
 #: Skippable frame that holds a file's dictionary (fixed value of the format).
 DICTIONARY_FRAME = 0x184D2A5D
-#: Bounds of what the dictionary is trained on, and its size.
+#: Bounds of what the dictionary is trained on (records, characters of payload in each), and its size.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 8192, 65536
 #: Payloads below this never become revisits; archives are closed at about this size.
 LEAST_PAYLOAD, ARCHIVE_BYTES = 100, 64 << 20
@@ -113,13 +113,21 @@ def read_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
             at += head + n + 4
 
 
-def train_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> bytes:
-    """A dictionary from a bounded sample of pages by a hash of their id; empty if they are too few or too short.
+def train_dictionary(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2020-01-01T00:00:00Z") -> bytes:
+    """A dictionary from records of a bounded sample of pages, chosen by a hash of their id; empty if they are too few or too short.
 
-    It only bears on size: whole payloads are stored whatever it holds.
+    Ids are chosen first; then only these pages' texts are read, of each a window from anywhere in it. The
+    sample only bears on size: whole payloads are stored whatever the dictionary holds.
     """
-    rows = pages.select(F.xxhash64(id_col).alias("_h"), F.substring(text_or_empty(html_col), 1, SAMPLE_CHARS).alias("_t")).where("_t <> ''")
-    sample = [r._t.encode() for r in rows.orderBy("_h", "_t").limit(SAMPLE_PAGES).collect()]
+    html = text_or_empty(html_col)
+    ids = pages.where(pages[id_col].isNotNull()).select(pages[id_col].alias("_i")).distinct()
+    chosen = [r["_i"] for r in ids.orderBy(F.xxhash64("_i"), "_i").limit(SAMPLE_PAGES).collect()]
+    begin = F.pmod(F.xxhash64(id_col, F.lit(6)), F.greatest(F.char_length(html) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    rows = pages.where(pages[id_col].isin(chosen)).select(pages[id_col].cast("long").alias("i"), F.struct(html.substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.col(url_col).alias("u")).alias("s"))
+    sample = []
+    for r in rows.groupBy("i").agg(F.min("s").alias("s")).where("s.t <> ''").orderBy("i").collect():
+        payload = r["s"]["t"].encode()
+        sample.append(page_record(r["i"], r["s"]["u"], payload, hashlib.sha256(payload).hexdigest(), None, date))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes() if len(sample) >= 16 else b""
     except zstandard.ZstdError:
@@ -132,10 +140,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     Of pages with equal payloads of at least LEAST_PAYLOAD bytes that with the smallest id is a
     response (all its repeated rows are), the others are revisits to it; a null id comes after all
     others and is never referred to. Null html is an empty payload, a null URL leaves its field out.
+    Ids are whole numbers; other columns of ``pages`` are not read.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    dictionary = spark.sparkContext.broadcast(train_dictionary(pages, id_col, html_col))
+    dictionary = spark.sparkContext.broadcast(train_dictionary(pages, id_col, url_col, html_col, date))
     html = text_or_empty(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     first = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
