@@ -39,8 +39,14 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """
     whole = entries.where("list IS NOT NULL AND pattern IS NOT NULL AND day IS NOT NULL AND action IS NOT NULL")
     last = whole.groupBy("list", "pattern", "day").agg(F.max_by("action", F.struct("seq", "action")).alias("action"))
-    order = Window.partitionBy("list", "pattern").orderBy("day")  # one row a day at most
-    return last.withColumn("until", F.lead("day").over(order)).where("action = 'add'").select("list", "pattern", F.col("day").alias("since"), "until")
+    # spans of days are dealt apart, a row a day at most in each; the first day of the next span is carried over
+    last = last.withColumn("_span", F.floor(F.col("day") / SPAN))
+    firsts = last.groupBy("list", "pattern", "_span").agg(F.min("day").alias("_first"))
+    firsts = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy("list", "pattern").orderBy("_span")))
+    firsts = firsts.where("_next IS NOT NULL").select(F.col("list").alias("_l"), F.col("pattern").alias("_p"), F.col("_span").alias("_s"), "_next")
+    within = last.withColumn("_until", F.lead("day").over(Window.partitionBy("list", "pattern", "_span").orderBy("day")))
+    met = within.join(firsts, (F.col("list") == F.col("_l")) & (F.col("pattern") == F.col("_p")) & (F.col("_span") == F.col("_s")), "left")
+    return met.where("action = 'add'").select("list", "pattern", F.col("day").alias("since"), F.coalesce("_until", "_next").alias("until"))
 
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day") -> DataFrame:
