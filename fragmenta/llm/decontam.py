@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.llm import _text
-from fragmenta.llm._shared import written
+from fragmenta.llm._shared import ascii_lower, scratch, text_or_empty, written
 
 #: Positions that each mask looks at: eight in a span of 8 to 13 tokens.
 MASKS = ("11111111", "110110110011", "1011011010101", "1100111001101")
@@ -28,6 +28,8 @@ MASKS = ("11111111", "110110110011", "1011011010101", "1100111001101")
 LIGHT, SHORT = ("11111", "110111", "111011", "1101011", "1011011"), 40
 #: Fewest matching tokens of an overlap, and their least share of its tokens; passages of fewer tokens must match whole.
 LEAST, IDENTITY = 12, 0.75
+#: What the tokens are: anything but white space and ASCII signs.
+TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Passages and characters of passages in one block.
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 8_000_000
 
@@ -145,8 +147,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     diagonal with at least ``least`` equal tokens whose matches outweigh mismatches at the rate
     ``identity`` or balance them; a passage that stands in its whole span overlaps at that rate even
     where that is fewer equal tokens; one of fewer than ``least`` tokens must stand unchanged. Empty and null texts and passages
-    overlap with nothing. Repeated documents are each reported; repeated passages each match.
-    item_id null is allowed; the place is of the best overlap: most matches, then earliest. Seeds find
+    overlap with nothing. Repeated documents are each reported.
+    item_id null is allowed; passages of equal tokens are one, under the smallest id of theirs; the place is of the best overlap: most matches, then earliest. Seeds find
     all runs of eight equal tokens, of five in passages of fewer than SHORT, and most of the others.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -177,15 +179,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[pd.DataFrame]:
-    """The passages in blocks of BLOCK_ITEMS items and BLOCK_CHARS characters (or one longer passage)."""
+    """The passages' tokens, equal ones once, in blocks of BLOCK_ITEMS items and BLOCK_CHARS characters (or one longer passage)."""
     rows: list[tuple] = []
     size = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(row.text or "")
+    tokens = F.array_join(F.regexp_extract_all(ascii_lower(text_or_empty("text")), F.lit(TOKEN), F.lit(0)), " ")
+    distinct = benchmark.select("item_id", tokens.alias("text")).where("text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    for row in distinct.toLocalIterator():
+        n = len(row.text)
         if rows and (len(rows) == BLOCK_ITEMS or size + n > BLOCK_CHARS):
             yield pd.DataFrame(rows, columns=["item_id", "text"])
             rows, size = [], 0
-        rows.append((row.item_id, row.text or ""))
+        rows.append((row.item_id, row.text))
         size += n
     if rows:
         yield pd.DataFrame(rows, columns=["item_id", "text"])
@@ -193,5 +197,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[pd.DataFrame]:
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap with no passage; a null id is never dropped."""
-    hit = written(find_overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit")).where("_hit IS NOT NULL").distinct(), "overlaps")
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    with scratch() as made:
+        hit = made.keep(written(find_overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit")).where("_hit IS NOT NULL").distinct(), "overlaps"))
+    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
