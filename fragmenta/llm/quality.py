@@ -5,8 +5,8 @@ labels of lines that follow each other. Forward-backward gives every line's marg
 document's score is their mean, weighted by the lines' lengths. A line's label in training is
 its document's.
 
-The field is fitted on the driver, on a bounded sample of labelled documents (MOST_DOCS of them,
-those of at most MOST_LINES lines); scoring is a map over all documents without a shuffle.
+The field is fitted on the driver, on a bounded sample of labelled documents: at most MOST_DOCS of
+them, with at most MOST_LINES lines together. Scoring is a map over all documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fragmenta.llm import _text
+from fragmenta.llm._shared import removed, written
 
 #: The bound of the sample that the field is fitted on.
-MOST_DOCS, MOST_LINES = 4000, 400
+MOST_DOCS, MOST_LINES = 4000, 300_000
+#: Chains are cut after so many lines in the fit, so that a step takes as long whatever the longest document.
+CHAIN = 400
 STEPS, RATE, DECAY = 120, 0.15, 1e-4
 
 #: Classes of bytes whose shares of a line are features.
@@ -127,6 +130,7 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
     sizes = np.diff(first)
     y = np.repeat(labels, sizes).astype(np.float64)
     share = np.repeat(1.0 / sizes, sizes)
+    first = np.unique(np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] + [first[-1:]]))
     inner = np.ones(len(x), bool)
     inner[first[:-1]] = False
     at = np.flatnonzero(inner)
@@ -155,21 +159,31 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lines = line_features(data, bounds)
             x = with_neighbours(lines)
             n = np.diff(lines.first)
-            small = np.flatnonzero(n <= MOST_LINES)
-            blobs = [x[lines.first[i] : lines.first[i + 1]].tobytes() for i in small]
-            labels = batch.column(0).slice(row, len(n)).take(pa.array(small))
-            yield pa.RecordBatch.from_arrays([labels, pa.array(n[small]), pa.array(blobs, pa.binary())], ["label", "n", "x"])
+            blobs = [x[a:b].tobytes() for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(blobs, pa.binary())], ["label", "n", "x"])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field | None:
     """The field of a bounded sample of labelled documents, chosen by a hash of the id; None where there is none.
 
-    Of several labels of one id the greatest counts; rows with a null id, label or text are left out.
+    Of several labels of one id the greatest counts; rows with a null id, label or text are left out,
+    and of rows that share an id all but the longest. Documents are taken in the order of the hash; one
+    is passed over only if its lines don't fit into what is left of MOST_LINES.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(MOST_DOCS)
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_label").alias("label"), F.col(text_col).alias("text"))
+    texts = docs.where(docs[text_col].isNotNull()).select(docs[id_col].alias("_of"), docs[text_col].alias("_text"))
+    lines = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    found = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id")).select("_id", "_label", lines.alias("_n"), "_text")
+    sample = written(found.groupBy("_id").agg(F.max(F.struct("_n", "_text", "_label")).alias("s")).select("_id", "s.*"), "labelled")
+    left, taken = MOST_LINES, []
+    for r in sample.select("_id", "_n").orderBy(F.xxhash64("_id"), "_id").collect():
+        if r["_n"] <= left:
+            left -= r["_n"]
+            taken.append(r["_id"])
+    rows = sample.where(F.col("_id").isin(taken)).select(F.col("_label").alias("label"), F.col("_text").alias("text"))
     got = rows.mapInArrow(_feature_rows, "label int, n long, x binary").toPandas()
+    removed(sample)
     if got["label"].nunique() < 2:
         return None
     got = got.sort_values(["n", "label", "x"], kind="stable")
