@@ -17,11 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm._shared import text_or_empty, written
+from fragmenta.llm._shared import removed, text_or_empty, written
 
 #: Hash buckets of words; labelled documents that the classifier is counted from at most.
 BUCKETS, MOST_LABELLED = 8192, 10_000
 STEPS, CLOSE = 60, 1e-9
+#: Steps after which the rates so far are written, so that a pass replays no more steps than that.
+REPLAY = 8
 #: Log odds are divided by this power of a document's length before they become posteriors.
 TEMPER = 0.25
 
@@ -53,8 +55,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     """
     chosen = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).groupBy(F.col(id_col).alias("_id")).agg(F.min("domain").alias("_domain"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED)
-    found = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-    counted = found.select("_domain", F.explode(F.array_distinct(F.transform(_words(text_col), _bucket))).alias("_b")).groupBy("_domain", "_b").count().collect()
+    texts = docs.select(docs[id_col].alias("_of"), docs[text_col].alias("_text"))
+    found = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id"))
+    counted = found.select("_domain", F.explode(F.array_distinct(F.transform(_words("_text"), _bucket))).alias("_b")).groupBy("_domain", "_b").count().collect()
     sizes = {r["_domain"]: r["count"] for r in chosen.groupBy("_domain").count().collect()}
     counts = np.full((len(domains), BUCKETS), 0.5)
     for r in counted:
@@ -70,7 +73,7 @@ def posteriors(docs: DataFrame, domains: list[str], model: tuple[list[float], li
     Texts without words have no tokens and the prior as posterior. Repeated rows are each kept.
     """
     priors, odds = model
-    base = docs.select(F.col(id_col), _words(text_col).alias("_w")).select(id_col, F.size("_w").cast("long").alias("tokens"), F.array_distinct(F.transform("_w", _bucket)).alias("_b"))
+    base = docs.select(docs[id_col], _words(text_col).alias("_w")).select(id_col, F.size("_w").cast("long").alias("tokens"), F.array_distinct(F.transform("_w", _bucket)).alias("_b"))
     scale = F.pow(F.greatest(F.size("_b"), F.lit(1)).cast("double"), F.lit(-TEMPER))
     logits = [F.lit(priors[0])]
     for prior, weights in zip(priors[1:], odds, strict=True):
@@ -81,12 +84,13 @@ def posteriors(docs: DataFrame, domains: list[str], model: tuple[list[float], li
     return base.select(id_col, "tokens", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the given steps of projected gradient descent from 1."""
+def rate_of(p: Column, steps: list[list[float]], begin: Column | None = None) -> Column:
+    """A document's rate after the given steps of projected gradient descent from ``begin``, or 1."""
+    begin = F.lit(1.0) if begin is None else begin
     if not steps:
-        return F.lit(1.0)
+        return begin
     history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
-    return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+    return F.aggregate(history, begin, lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
 
 
 def fit_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
@@ -97,14 +101,20 @@ def fit_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
     square = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
     inverse = np.linalg.pinv(square, rcond=1e-10, hermitian=True)
     steps: list[list[float]] = []
+    state, done = members.select("tokens", "p", F.lit(1.0).alias("rate")), 0
     for _ in range(STEPS):
-        rate = rate_of(F.col("p"), steps)
-        totals = members.agg(*(F.sum(t * F.get("p", F.lit(i)) * rate).alias(f"t{i}") for i in k)).first()
+        if len(steps) - done == REPLAY:
+            before, state = state, written(state.select("tokens", "p", rate_of(F.col("p"), steps[done:], F.col("rate")).alias("rate")), "rates")
+            removed(before)
+            done = len(steps)
+        rate = rate_of(F.col("p"), steps[done:], F.col("rate"))
+        totals = state.agg(*(F.sum(t * F.get("p", F.lit(i)) * rate).alias(f"t{i}") for i in k)).first()
         off = np.array([(totals[f"t{i}"] or 0.0) - targets[i] for i in k])
         move = inverse @ off
         if np.abs(off).max() <= CLOSE * max(targets, default=0) or np.abs(move).max() <= CLOSE:
             break
         steps.append([float(f"{x:.12g}") for x in move])
+    removed(state)
     return steps
 
 
