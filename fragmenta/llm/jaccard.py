@@ -17,7 +17,6 @@ Equal sets are one set throughout. Nothing is collected, and no partner or candi
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.llm import _text
-from fragmenta.llm._shared import shared_folder, written
+from fragmenta.llm._shared import remove_folder, removed, scratch, shared_folder, shuffles_removed, written
 
 WORDS = 5
 #: Segments of a band against the most differences in it; sets of a signature that are still all compared.
@@ -175,10 +174,13 @@ def _prefixes(sets: Sets, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return of, _text.mix(sets.shingles[at] * U(5) + U(11))
 
 
-def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool, prefixes: bool = False) -> DataFrame:
-    """Signatures of (id, text) by bucket: (bucket, signs, ids); with ``deletions`` their one-deletion neighbourhoods too.
+def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool, prefixes: bool = False, cut: bool = True) -> DataFrame:
+    """Signatures of (id, text) by bucket: (bucket, signs, ids, crowds, local); with ``deletions`` their one-deletion neighbourhoods too.
 
     With ``prefixes`` sets whose subsets a partner's differences may all spoil have signatures of first shingles besides.
+    With ``cut`` a signature that over CROWD sets of a run of a task share is sent once, for the first of
+    them (``crowds`` names its place); that the others met the first is in ``local``, which goes to
+    buckets by id, as (set, first set, band).
     """
     kind = np.int64 if wide else np.uint32
 
@@ -188,10 +190,43 @@ def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool, prefixes: boo
 
         def packed() -> pa.RecordBatch:
             bucket, sign, ids = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((sign, ids, bucket << 32 | (sign & _KEY).astype(np.int64)))
             bucket, sign, ids = bucket[order], sign[order], ids[order]
+            key = bucket << 32 | (sign & _KEY).astype(np.int64)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (sign[1:] != sign[:-1])
+            bucket, sign, ids, key = bucket[new], sign[new], ids[new], key[new]
+            local: dict[int, bytes] = {}
+            crowds: dict[int, np.ndarray] = {}
+            if cut:
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                n = np.diff(np.append(start, len(key)))
+                big, many = start[n > CROWD], n[n > CROWD]
+                inside = np.repeat(big, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                met = np.stack([ids[inside].astype(np.int64), ids[np.repeat(big, many)].astype(np.int64), (sign[inside] & _BAND).astype(np.int64)])
+                met = met[:, inside != np.repeat(big, many)]
+                with np.errstate(over="ignore"):
+                    to = (_text.mix(met[0].astype(U)) >> U(64 - bits)).astype(np.int64)
+                by = np.argsort(to, kind="stable")
+                edge = np.flatnonzero(np.concatenate([[True], to[by][1:] != to[by][:-1], [True]])) if len(by) else np.zeros(0, np.int64)
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    local[int(to[by[x]])] = np.ascontiguousarray(met[:, by[x:y]]).tobytes()
+                keep = np.ones(len(key), bool)
+                keep[inside] = False
+                keep[big] = True
+                head = np.zeros(len(key), bool)
+                head[big] = True
+                bucket, sign, ids, head = bucket[keep], sign[keep], ids[keep], head[keep]
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array([sign[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["bucket", "signs", "ids"])
+            rows: dict[int, tuple[bytes, bytes]] = {}
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rows[int(bucket[x])] = sign[x:y].tobytes(), ids[x:y].tobytes()
+                if cut and head[x:y].any():
+                    crowds[int(bucket[x])] = np.flatnonzero(head[x:y]).astype(np.uint32)
+            found = sorted(rows.keys() | local.keys())
+            columns = [[rows.get(k, (b"", b""))[i] for k in found] for i in (0, 1)]
+            columns += [[crowds[k].tobytes() if k in crowds else b"" for k in found], [local.get(k, b"") for k in found]]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "signs", "ids", "crowds", "local"])
 
         for batch in batches:
             names = batch.column(0).to_numpy()
@@ -223,7 +258,7 @@ def _emit(docs: DataFrame, bits: int, wide: bool, deletions: bool, prefixes: boo
         if size:
             yield packed()
 
-    return docs.mapInArrow(run, "bucket int, signs binary, ids binary")
+    return docs.mapInArrow(run, "bucket int, signs binary, ids binary, crowds binary, local binary")
 
 
 def _pairs_of(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,18 +282,22 @@ def _meet(emitted: DataFrame, wide: bool, deletions: bool) -> DataFrame:
     kind = np.int64 if wide else np.uint32
 
     def run(rows: pa.Table) -> pa.Table:
-        sign = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["signs"].to_pylist()])
+        parts = [np.frombuffer(x, np.uint32) for x in rows["signs"].to_pylist()]
+        sign = np.concatenate(parts)
         ids = np.concatenate([np.frombuffer(x, kind) for x in rows["ids"].to_pylist()]).astype(np.int64)
+        many_of = np.zeros(len(sign), bool)
+        base = np.cumsum([0, *map(len, parts)])
+        for k, x in enumerate(rows["crowds"].to_pylist()):
+            many_of[base[k] + np.frombuffer(x, np.uint32).astype(np.int64)] = True
+        local = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["local"].to_pylist()], axis=1)
         key = sign & _KEY
         order = np.lexsort((ids, key))
-        key, ids, sign = key[order], ids[order], sign[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (sign[1:] == sign[:-1])
-        key, ids, sign = key[~same], ids[~same], sign[~same]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, ids, sign, many_of = key[order], ids[order], sign[order], many_of[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         n = np.diff(np.append(start, len(key)))
-        start, n = start[n > 1], n[n > 1]
-        crowd = n > CROWD
+        crowd = (n > CROWD) | (np.add.reduceat(many_of, start) > 0) if len(start) else np.zeros(0, bool)
+        keep = (n > 1) | crowd
+        start, n, crowd = start[keep], n[keep], crowd[keep]
         a, b = _pairs_of(start[~crowd], n[~crowd])
         if deletions:
             differ = (sign[a] ^ sign[b]) & _DELETED != 0
@@ -266,11 +305,12 @@ def _meet(emitted: DataFrame, wide: bool, deletions: bool) -> DataFrame:
         big, many = start[crowd], n[crowd]
         inside = np.repeat(big, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         band = (sign & _BAND).astype(np.int64)
-        columns = [np.concatenate(x) for x in ((ids[a], ids[np.repeat(big, many)]), (ids[b], ids[inside]), (band[a], band[inside]), (np.zeros(len(a), np.int64), np.ones(len(inside), np.int64)))]
+        met = len(inside) + local.shape[1]
+        columns = [np.concatenate(x) for x in ((ids[a], ids[np.repeat(big, many)], local[1]), (ids[b], ids[inside], local[0]), (band[a], band[inside], local[2]), (np.zeros(len(a), np.int64), np.ones(met, np.int64)))]
         low, high = np.minimum(columns[0], columns[1]), np.maximum(columns[0], columns[1])
         differ = low != high
         pairs, times = _counted(np.stack([low, high, *columns[2:]])[:, differ])
-        marks, crowded = _counted(np.stack([ids[inside], band[inside]]))
+        marks, crowded = _counted(np.concatenate([np.stack([ids[inside], band[inside]]), local[[0, 2]]], axis=1))
         none = pa.nulls(marks.shape[1], pa.int64())
         whole = [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32)), pa.array(pairs[3] > 0), pa.array(times)]
         alone = [pa.array(marks[0]), none, pa.array(marks[1].astype(np.int32)), pa.array(np.ones(marks.shape[1], bool)), pa.array(crowded)]
@@ -291,17 +331,14 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    """``docs`` as a table in the shared folder, bucketed and sorted by id: later joins on ids move no text."""
+def _dealt(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a table in the shared folder, bucketed and sorted by id, and its name: later joins on ids move no text."""
     spark = docs.sparkSession
     name = f"sets_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = docs.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    out.bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
-    del docs, out
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # what the join shuffled can go
-    return spark.table(name)
+    with shuffles_removed(spark):
+        docs.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
+    return spark.table(name), name
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -335,7 +372,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(run, "a long, b long"), "links")
+    links = written(both.mapInArrow(run, "a long, b long"), "links")
+    removed(pairs, sets)
+    return links
 
 
 def _own(col: str):
@@ -360,7 +399,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = None
     while True:
-        edges = written(star(star(edges, True), False), "edges")
+        last, edges = edges, written(star(star(edges, True), False), "edges")
+        removed(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -495,7 +535,7 @@ def _rest(docs: DataFrame, core: DataFrame, links: DataFrame, bits: int, wide: b
                 s, i = np.frombuffer(signs, np.uint32), np.frombuffer(ids, kind).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((np.int64(bucket) << 32) | s.astype(np.int64)), pa.array(i)], ["sign", "id"])
 
-    shared = _emit(_only(docs, kept), bits, wide, False, prefixes=True).mapInArrow(explode, "sign long, id long")
+    shared = _emit(_only(docs, kept), bits, wide, False, prefixes=True, cut=False).select("bucket", "signs", "ids").mapInArrow(explode, "sign long, id long")
     lone = kept.select(F.col("id").alias("_k"), F.struct("lone", "id").alias("rank"))
     ranked = written(shared.join(lone, F.col("id") == F.col("_k")).select("sign", "id", "rank"), "core-signs")
     centres = ranked.groupBy("sign").agg(F.min("rank").alias("rank"), F.count("*").alias("k")).where("k > 1").select(_own("sign").alias("_s"), F.col("rank.id").alias("b"))
@@ -505,13 +545,18 @@ def _rest(docs: DataFrame, core: DataFrame, links: DataFrame, bits: int, wide: b
         found = roots.select(F.col("id").alias(f"_{name}"), F.col("root").alias(name))
         return df.withColumn("_j", _own(key)).join(found, F.col("_j") == _own(f"_{name}"), "left").drop("_j", f"_{name}").withColumn(name, F.coalesce(name, key))
 
-    before = components(links)
+    before = components(links)  # before the stars
     open_ = with_root(with_root(stars, before, "a", "_ra"), before, "b", "_rb").where("_ra <> _rb").select("a", "b")
     size = kept.select("id", "n")
-    links = written(links.unionByName(verify(_among(open_, size), docs)), "links")
+    near = verify(_among(open_, size), docs)
+    removed(ranked, before)
+    links, fewer = written(links.unionByName(near), "links"), links
+    removed(near, fewer)
     after = components(links)
     cluster = components(stars)
+    removed(stars)
     placed = written(with_root(with_root(kept.select("id"), cluster, "id", "cluster"), after, "id", "root"), "core-placed")
+    removed(after, cluster)
     classes = placed.groupBy("cluster", "root").agg(F.count("*").alias("k"))
     main = classes.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count("*").alias("classes")).where("classes > 1")
     main = main.select(F.col("cluster").alias("_c"), "main", F.ceil(F.col("most") / BLOCK).alias("inside"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("outside"))
@@ -526,7 +571,10 @@ def _rest(docs: DataFrame, core: DataFrame, links: DataFrame, bits: int, wide: b
     dealt = inner.unionByName(outer)
     blobs = sets.select(_own("id").alias("_b"), "shingles")
     met = dealt.withColumn("_o", _own("id")).join(blobs, F.col("_o") == F.col("_b")).select("cluster", "i", "j", "side", "id", "root", "shingles")
-    return links.unionByName(written(met.groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long"), "core-links"))
+    last = written(met.groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long"), "core-links")
+    out = written(links.unionByName(last), "links")
+    removed(last, links, sets, kept, placed)
+    return out
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -535,8 +583,9 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component_id is the smallest id reachable by links, the row's own included. Words are runs of
     other than ASCII white space, A-Z as a-z; null and empty texts have no shingles and link with
     nothing. Rows with a null id keep their size and get a null component. Rows that share an id
-    share its links. Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    share its links. Ids are whole numbers. Shingles are told apart by 64-bit hashes, sets by 128 bits.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = written(describe_sets(rows), "described")
     whole = described.where("n > 0 AND id IS NOT NULL")
@@ -547,7 +596,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wide = least < 0 or most >= 1 << 32
     bits = max(6, int(np.ceil(np.log2(max(1, shingles * 8 / 3e6)))))  # buckets of about 3 MB
     first = reps.where("n >= 3").select(F.col("rep").alias("id"))
-    texts = _dealt(_only(rows, first))
+    texts, name = _dealt(_only(rows, first))
     met = written(_meet(_emit(texts, bits, wide, False), wide, False), "met")
     own = whole.where("n >= 3").join(first.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left_semi").drop("h1", "h2").dropDuplicates(["id"])
     about = written(_with_crowded(own, met), "about")
@@ -555,13 +604,20 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = written(_meet(_emit(_only(texts, hard), bits, wide, True), wide, True), "met-again")
     near = _among(met.where("b IS NOT NULL AND star"), hard).unionByName(_among(again.where("b IS NOT NULL AND NOT star"), hard))
     links = verify(_plausible(met, about).unionByName(near), texts)
+    removed(met, about)
     left = _with_crowded(hard.withColumnRenamed("crowded", "before"), again)
     core = written(left.where(_short((2, "full"), (-1, "single"), (-1, "need"), (-2, "before"), (-1, "crowded"))).select("id"), "core-sets")
+    removed(hard, again)
     if not core.isEmpty():
         links = _rest(texts, core, links, bits, wide)
+    spark.sql(f"DROP TABLE {name}")
+    remove_folder(f"{shared_folder(spark)}/{name}")
+    removed(core)
     roots = components(links)
+    removed(links)
     root_of = reps.join(roots.select(F.col("id").alias("_r"), "root"), F.col("rep") == F.col("_r"), "left").select("h1", "h2", F.col("n").alias("_n"), "copies", "rep", F.coalesce("root", "rep").alias("component"))
-    moved = root_of.where("copies > 1 OR component <> rep").select(F.concat_ws("/", "h1", "h2", "_n").alias("_k"), "component")
+    moved = written(root_of.where("copies > 1 OR component <> rep").select(F.concat_ws("/", "h1", "h2", "_n").alias("_k"), "component"), "moved")
+    removed(reps, roots)
     keyed = described.withColumn("_set", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.concat_ws("/", "h1", "h2", "n")))
     out = keyed.join(moved, F.col("_set") == F.col("_k"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
@@ -569,7 +625,9 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of linked documents: that with the smallest id; repeated rows of one id are one. Null ids stay."""
-    first = join_classes(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    first = written(first, "first-of-class")
-    kept = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    with scratch() as made:
+        first = join_classes(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
+        first = made.keep(written(first, "first-of-class"))
+    whole = docs.where(docs[id_col].isNotNull())
+    kept = whole.join(first, whole[id_col] == first["_first"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(docs[id_col].isNull()))
