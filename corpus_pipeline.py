@@ -7,11 +7,13 @@ written as Parquet and read again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmenta.llm import decontam, jaccard, mixing, quality, tokenfile
-from fragmenta.llm._shared import table, written
+from fragmenta.llm._shared import removed, scratch, table, written
 from fragmenta.llm.queries import tokenizer_path
 
 #: Documents below this score go.
@@ -35,11 +37,16 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; documents with a null id stay once."""
-    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.SHARES)
-    copies = written(mixed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_of")).agg(F.max("copies").alias("_copies")), "copies")
-    met = docs.join(copies, F.col("doc_id") == F.col("_of"), "left").withColumn("_times", F.coalesce("_copies", F.lit(1)))
-    return met.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each document as often as its rate says; documents with a null id stay once. Rows that share an id have the greatest copies of their texts."""
+    with scratch() as made:
+        mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.SHARES)
+        copies = mixed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
+        copies = made.keep(written(copies.where("copies <> 1"), "copies"))
+    met = docs.join(copies, docs["doc_id"] == copies["of"], "left")
+    times = F.coalesce(copies["copies"], F.lit(1))
+    met = met.where(times > 0)
+    again = F.explode(F.sequence(F.lit(1), times))
+    return met.select(*(docs[c] for c in docs.columns), again.alias(uuid.uuid4().hex)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            removed(before)
     return docs
