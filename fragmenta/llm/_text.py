@@ -51,13 +51,13 @@ def spare(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of ``data``, which has eight bytes to spare."""
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+    """64-bit hashes of byte spans of ``data``, which has eight bytes to spare; spans over ``longest`` bytes one by one."""
     size = end - start
     with np.errstate(over="ignore"):
         out = mix(mix(size.astype(U) * PRIME) ^ block(data, start, size))
         more = np.flatnonzero(size > 8)
-        for k in range(8, LONGEST, 8):
+        for k in range(8, longest, 8):
             if not len(more):
                 break
             out[more] = mix(out[more] ^ block(data, start[more] + k, size[more] - k))

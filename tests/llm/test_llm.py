@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fragmenta.llm import _text, decontam, jaccard, linededup, lm, matroska, mixing, quality, queries, subwords, tokenfile, urllist, warc
+from fragmenta.llm import _text, attention, decontam, jaccard, linededup, lm, matroska, mixing, quality, queries, subwords, tokenfile, urllist, warc
 
 LONG = "word and word " * 30_000
 ODD = [
@@ -394,33 +394,205 @@ def test_mixing(spark):
     assert mixing.mix(odd(spark), labelled.limit(0), mixing.SHARES).count() == len(ODD)
 
 
+def lm_stream(sequences, end):
+    return attention.stream(np.concatenate([np.zeros(0, np.int64), *sequences]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sequences])]).astype(np.int64), end)
+
+
+def lm_model(rng, sequences, size):
+    """A model of ids below ``size`` with drawn weights, so that all parts count."""
+    inputs, targets, _ = lm_stream(sequences, size)
+    keys, times = np.unique(inputs * (size + 1) + targets, return_counts=True)
+    m = attention.begin(np.bincount(targets, minlength=size + 1), keys, times)
+    return m._replace(**{k: (getattr(m, k) + rng.normal(scale=0.3, size=getattr(m, k).shape)).astype(np.float32) for k in attention.TRAINED})
+
+
 def test_lm_windows_score_each_token_once():
-    sequences = [np.arange(n) for n in (0, 1, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 500)]
-    inputs, targets, scored, text = lm.windows_of(sequences, 777)
+    sequences = [np.arange(n) for n in (0, 1, attention.WINDOW - 1, attention.WINDOW, attention.WINDOW + 1, 500)]
+    inputs, targets, bounds = lm_stream(sequences, 777)
+    starts = attention.window_starts(bounds)
+    at, scored = attention.places(bounds, np.arange(starts[-1]), starts)
+    assert np.sort(at[scored]).tolist() == list(range(len(targets)))
     for k, s in enumerate(sequences):
-        assert np.concatenate([targets[text == k][scored[text == k]]]).tolist() == [*s.tolist(), 777]
-        assert np.concatenate([inputs[text == k][scored[text == k]]]).tolist() == [777, *s.tolist()]
+        mine = slice(bounds[k], bounds[k + 1])
+        assert targets[mine].tolist() == [*s.tolist(), 777] and inputs[mine].tolist() == [777, *s.tolist()]
+    for one_of in (1, 3, 64):
+        chosen = attention.chosen_windows(bounds, np.arange(len(sequences)), one_of)
+        assert len(set(chosen.tolist())) == len(chosen) and set(np.searchsorted(starts, chosen, "right").tolist()) == set(range(1, len(sequences) + 1))
 
 
 def test_lm_gradients():
     rng = np.random.default_rng(6)
     sequences = [rng.integers(0, 40, 150) for _ in range(4)]
-    counts = np.append(np.bincount(np.concatenate(sequences), minlength=40), 4)
-    model = lm.train(sequences, counts)
-    inputs, targets, scored, _ = lm.windows_of(sequences, model.end)
-    weight = scored.astype(np.float32)
-    wide = model._replace(**{k: getattr(model, k).astype(np.float64) for k in lm.TRAINED})
-    grads, loss = lm._gradients(wide, inputs, targets, weight.astype(np.float64))
-    for name in ("query", "value", "near", "heads", "pairs", "out"):
-        at = tuple(rng.integers(0, n) for n in getattr(wide, name).shape)
+    model = lm_model(rng, sequences, 40)
+    inputs, targets, bounds = lm_stream(sequences, 40)
+    at, scored = attention.windows_at(bounds, np.arange(attention.window_starts(bounds)[-1]))
+    wide = model._replace(**{k: getattr(model, k).astype(np.float64) for k in attention.TRAINED})
+    loss = lambda m: attention.gradients(m, inputs[at], m.classes[targets[at]], scored.astype(np.float64))
+    grads, _ = loss(wide)
+    for name in attention.TRAINED:
+        places = np.argwhere(np.abs(grads[name]) > 1e-3)
+        where = tuple(places[rng.integers(len(places))])
         step = np.zeros_like(getattr(wide, name))
-        step[at] = 1e-4
-        up, down = (lm._gradients(wide._replace(**{name: getattr(wide, name) + s * step}), inputs, targets, weight.astype(np.float64))[1] for s in (1, -1))
-        assert abs((up - down) / 2e-4 - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at]))
-    every = np.arange(len(counts))
-    logs = lm._log_probabilities(model, np.broadcast_to(inputs[0], (len(every), lm.WINDOW)), np.broadcast_to(every[:, None], (len(every), lm.WINDOW)), np.ones((len(every), lm.WINDOW), bool))
-    total = np.exp(logs.astype(np.float64)).reshape(len(every), lm.WINDOW).sum(axis=0)
-    assert np.allclose(total, 1, atol=1e-3)  # a distribution at every place
+        step[where] = 1e-5
+        up, down = (loss(wide._replace(**{name: getattr(wide, name) + sign * step}))[1] for sign in (1, -1))
+        assert abs((up - down) / 2e-5 - grads[name][where]) < 1e-3 * max(1, abs(grads[name][where])), name
+
+
+def plain_attention(m, ids):
+    """log10 probabilities of a text's ids and end, one place after the other, straight from the definition."""
+    text, out = [m.end, *ids], []
+    step = attention.WINDOW - attention.CONTEXT
+    for place, want in enumerate([*ids, m.end]):
+        number = 0 if place < attention.WINDOW else -(-(place + 1 - attention.WINDOW) // step)
+        begin = number * step
+        x = [m.embed[m.own[i]].astype(float) + m.embed[attention.OWN_IDS + 1 + m.classes[i]] for i in text[begin : place + 1]]
+        q = x[-1] @ m.query
+        a = np.array([np.exp(min(q @ (v @ m.key) / np.sqrt(attention.DIM), attention.STEEPEST) + m.near[place - begin - j]) for j, v in enumerate(x)])
+        h = x[-1] + sum(w * (v @ m.value) for w, v in zip(a / a.sum(), x, strict=True)) @ m.out
+        h = h + np.maximum(h @ m.up, 0) @ m.down
+        logits = np.minimum(h @ m.heads + m.pairs[m.classes[text[place]]], attention.STEEPEST)
+        p = np.exp(logits) / np.exp(logits).sum()
+        key = text[place] * len(m.classes) + want + 1
+        slot = int(attention.slot_of(np.array([key], np.uint64))[0])
+        c = float(m.times[slot]) if int(m.keys[slot]) == key else 0.0
+        within = (c + attention.PRIOR * m.inside[want]) / (m.after[text[place], m.classes[want]] + attention.PRIOR)
+        out.append(np.log10(p[m.classes[want]] * within))
+    return out
+
+
+def test_lm_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(8)
+    sequences = [rng.integers(0, 40, n) for n in (0, 1, 31, 32, 33, 100)]
+    model = lm_model(rng, sequences, 40)
+    got = attention.score_targets(model, *lm_stream(sequences, 40))
+    want = np.concatenate([plain_attention(model, s.tolist()) for s in sequences])
+    assert np.allclose(got, want, atol=1e-4)
+    heads = [rng.integers(0, 40, 20)] * 41  # what may follow one context: every id, or the end
+    every = [np.append(h, k) for k, h in enumerate(heads[:40])]
+    inputs, targets, bounds = lm_stream(every, 40)
+    scores = attention.score_targets(model, inputs, targets, bounds)
+    after = scores[bounds[:-1] + 20]
+    end = attention.score_targets(model, *lm_stream(heads[:1], 40))[-1]
+    assert abs((10**after).sum() + 10**end - 1) < 1e-4
+
+
+def plain_segments(ids, end):
+    """(begin, context, segment) of a text's segments, and where the first begins."""
+    text = [*ids, end]
+    marks = []
+    for k in range(lm.ORDER, len(text)):
+        total = sum(i * int(t) for i, t in zip(text[k - lm.ORDER : k], _text._TURNS, strict=False)) % (1 << 64)
+        if int(_text.mix(np.array([total], np.uint64))[0]) % (1 << lm.SPARSE) == 0:
+            marks.append(k)
+    return [(a, b, tuple(text[a - lm.ORDER : a]), tuple(text[a:b])) for a, b in zip(marks, [*marks[1:], len(text)], strict=False)]
+
+
+@pytest.mark.parametrize("most", [1 << 17, 3])
+def test_lm_memory_equals_brute_force(spark, monkeypatch, most):
+    from collections import Counter
+
+    rng = random.Random(4)
+    pool = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(120)) for _ in range(12)]
+    docs = [(k, rng.choice(pool) + (" once more" if k % 3 else "")) for k in range(40)] + [(90, None), (91, ""), (92, pool[0]), (92, pool[0])]
+    found = {}
+    second = lm._second_descent
+    monkeypatch.setattr(lm, "_second_descent", lambda *a: found.setdefault("m", second(*a)))
+    monkeypatch.setattr(lm, "MOST_SEGMENTS", most)
+    monkeypatch.setattr(lm, "MOST_WORDS", most)
+    out = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), queries.tokenizer_path()).collect()
+    m = found["m"]
+    ids = {t: [x for _, x, _ in subwords.encode_column(pa.array([t or ""]), queries.tokenizer_path())][0].tolist() for _, t in docs}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    contexts, segments = Counter(), Counter()
+    for i, t in docs:
+        if not held(i):
+            contexts.update(c for _, _, c, _ in plain_segments(ids[t], m.end))
+            segments.update((c, s) for _, _, c, s in plain_segments(ids[t], m.end))
+    want = []
+    for i, t in docs:
+        logs = plain_attention(m, ids[t])
+        parts = plain_segments(ids[t], m.end)
+        score = sum(logs[: parts[0][0]] if parts else logs)
+        mine, mine_all = Counter(), Counter()
+        if not held(i):
+            mine.update((c, s) for _, _, c, s in parts)
+            mine_all.update(c for _, _, c, _ in parts)
+        for a, b, c, s in parts:
+            score += np.log10((segments[c, s] - mine[c, s] + 10 ** sum(logs[a:b])) / (contexts[c] - mine_all[c] + 1))
+        want.append((i, round(score, 3)))
+    assert sum(len(plain_segments(ids[t], m.end)) for _, t in docs) > 40
+    got = sorted((r.doc_id, r.score) for r in out)
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+    assert np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=5e-3)
+
+
+def test_lm_tells_repeats_apart(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(150))
+    once = [text() for _ in range(80)]
+    twice = [text() for _ in range(40)]
+    rows = list(enumerate([*once, *twice, *twice]))
+    out = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path()).collect()
+    cost = {r.doc_id: -r.score / r.n_tokens for r in out}
+    both = [i for i in range(80, 120) if zlib.crc32(str(i).encode()) % 7 != 2 and zlib.crc32(str(i + 40).encode()) % 7 != 2]
+    assert max(cost[i] for i in both) < min(cost[i] for i in range(80))
+
+
+def thue_morse(n, letters):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join(letters[x] for x in word)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_hashes_of_structured_words_differ(spark, n):
+    one, other = thue_morse(n, "ab"), thue_morse(n, "ba")
+    found = [_text.words(d, b) for _, d, b in _text.chunks(pa.array([one, other]), 1 << 62)][0]
+    assert found.hash[0] != found.hash[1]
+    path = queries.tokenizer_path()
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    got = [ids[b[i] : b[i + 1]].tolist() for _, ids, b in subwords.encode_column(pa.array([one, other, one]), path, added=True) for i in range(len(b) - 1)]
+    assert got == [e.ids for e in own.encode_batch([one, other, one], add_special_tokens=False)]
+    rows = [(1, f"a b c {one} d e f"), (2, f"a b c {other} d e f"), (3, f"a b c {one} d e f")]
+    out = {r.doc_id: r.component_id for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+
+
+def test_decontamination_recall_against_a_scan_of_all_diagonals(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [make(n) for n in (12, 16, 20, 24, 30, 40, 60, 90) for _ in range(12)]
+    docs = []
+    for k in range(600):
+        p = rng.choice(passages)
+        share = rng.choice([0.0, 0.1, 0.15, 0.2, 0.25, 0.4])
+        docs.append((k, make(rng.randint(5, 60)) + [rng.choice(vocabulary) if rng.random() < share else w for w in p] + make(rng.randint(5, 60))))
+    docs += [(1000 + k, make(120)) for k in range(100)]
+    truth = set()
+    for i, words_ in docs:
+        for j, p in enumerate(passages):
+            for shift in range(-len(p) + 1, len(words_)):
+                a, b = max(0, -shift), min(len(p), len(words_) - shift)
+                same = [p[x] == words_[x + shift] for x in range(a, b)]
+                if sum(same) < min(decontam.LEAST, 0.75 * len(p)):
+                    continue
+                got = decontam._longest(np.array(same), decontam.IDENTITY)
+                if got[2] >= decontam.LEAST or (b - a == len(p) and sum(same) >= decontam.IDENTITY * len(p)):
+                    truth.add((i, j))
+    tables = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(j, " ".join(p)) for j, p in enumerate(passages)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_overlaps(*tables).collect()}
+    assert len(truth) > 400 and len(found & truth) / len(truth) >= 0.95
+    assert len(found - truth) <= 0.01 * len(truth)
+
+
+def test_equal_passages_are_one(spark):
+    docs = spark.createDataFrame([(k, f"head {k} one two three four five six seven eight nine ten eleven twelve tail") for k in range(3)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, "One two, three four five six seven eight nine ten eleven twelve!") for k in range(5, 60)] + [(None, None), (61, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_overlaps(docs, bench).collect()) == [(0, 5), (1, 5), (2, 5)]
 
 
 def test_lm_scores(spark):
@@ -468,3 +640,42 @@ def test_pipeline(spark):
             assert set(after) == whole
         counts.append(docs.count())
     assert counts[-1] == counts[-2] and set(docs.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_pipeline_stages_bear_odd_rows(spark):
+    """Null, empty, repeated and tied rows, and columns of the operators' own names."""
+    import corpus_pipeline
+
+    names = ["_hit", "_first", "_of", "_id", "_label", "_text", "_copies", "_times", "rate", "p", "tokens", "copies", "of"]
+    docs = odd(spark).select("doc_id", "text", *(F.lit(7).alias(n) for n in names))
+    assert sum(r.doc_id is None for r in docs.collect()) == 1
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {(r.doc_id, r.text) for r in rows} <= set(ODD) and all(r[n] == 7 for r in rows for n in names)
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    assert sum(r.doc_id is None for r in corpus_pipeline.mix_domains(spark, docs, "/root/testdata/sf0.001").collect()) == 1
+    assert corpus_pipeline.write_tokens(spark, docs, "/root/testdata/sf0.001").count() == len(ODD)
+
+
+def test_quality_learns_from_long_documents(spark):
+    rows = [(k, "\n".join(["Plain words in a plain line."] * 600) if k % 2 else "\n".join(["$$$ ### !!! @@@"] * 600)) for k in range(12)]
+    field = quality.fit_on(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int"))
+    assert field is not None
+    scores = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert min(scores[k] for k in range(1, 12, 2)) > 0.9 and max(scores[k] for k in range(0, 12, 2)) < 0.1
+
+
+def test_intervals_over_spans_equal_plain_ones(spark):
+    rng = random.Random(2)
+    rows = [("l", f"host:{rng.choice('ab')}", rng.randint(0, 400), rng.choice(["add", "remove"]), k) for k in range(150)]
+    got = {tuple(r) for r in urllist.validity_intervals(spark.createDataFrame(rows, "list string, pattern string, day int, action string, seq long")).collect()}
+    want = set()
+    for p in ("host:a", "host:b"):
+        last = {}
+        for r in sorted((r for r in rows if r[1] == p), key=lambda r: (r[2], r[4])):
+            last[r[2]] = r[3]
+        days = sorted(last)
+        want |= {("l", p, d, e) for d, e in zip(days, [*days[1:], None], strict=True) if last[d] == "add"}
+    assert got == want
