@@ -38,17 +38,24 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def union_tokens(df: DataFrame, keys: list[str], order: str, lists: list[str]) -> DataFrame:
-    """One row of each key; comma lists become the union of the rows' tokens, in the order in which they first occur."""
-    rows = [F.array_sort(F.collect_list(F.struct(order, x))).alias(x) for x in lists]
-    out = df.groupBy(*keys).agg(F.count("*").alias("copies"), *rows)
-    for x in lists:
-        out = out.withColumn(x, F.array_join(F.array_distinct(_tokens(x)), ","))
-    return out
+    """One row of each key; comma lists become the union of the rows' tokens, in the order in which they first occur.
 
+    A token's first occurrence is a minimum, so no list of a key's rows is made; keys are told apart from null ones.
+    """
+
+    def tokens(x: str) -> Column:
+        parts = F.filter(F.split(F.coalesce(F.col(x), F.lit("")), ","), lambda t: t != "")
+        return F.transform(parts, lambda t, i: F.struct(F.lit(x).alias("list"), t.alias("token"), F.struct(F.col(order).alias("o"), i.alias("i")).alias("at")))
 
-def _tokens(name: str) -> Column:
-    parts = F.transform(F.col(name), lambda r: F.filter(F.split(F.coalesce(r[name], F.lit("")), ","), lambda t: t != ""))
-    return F.flatten(parts)
+    each = F.flatten(F.array(*(tokens(x) for x in lists)))
+    first = df.select(*keys, F.explode(each).alias("_t")).groupBy(*keys, "_t.list", "_t.token").agg(F.min("_t.at").alias("at"))
+    joined = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == x, F.struct("at", "token")))), lambda r: r["token"]), ",").alias(x) for x in lists]
+    unions = first.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(*joined)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    met = df.groupBy(*keys).agg(F.count("*").alias("copies")).join(unions, cond, "left")
+    return met.select(*keys, "copies", *(F.coalesce(x, F.lit("")).alias(x) for x in lists))
 
 
 def fuzzy_pairs(bps: DataFrame, near: int = 10, far: int = 200, large: int = 400, crowd: int = 500) -> DataFrame:
@@ -59,11 +66,17 @@ def fuzzy_pairs(bps: DataFrame, near: int = 10, far: int = 200, large: int = 400
     not depend on the order of rows.
     """
     c = F.col
+    place = ["chr1", "pos1", "strand1", "chr2", "pos2", "strand2"]
+    rank = F.struct(c("maxlod").alias("lod"), (-c("bp_num")).alias("neg"))
+    # calls at one place have the same neighbours: places meet with their counts and best ranks, so a pile-up is one row
+    best = [F.max(F.when((c("conf") == "PASS") == passed, F.when(c("maxlod").isNotNull(), rank))).alias(f"best_{passed}".lower()) for passed in (True, False)]
+    places = bps.groupBy(*place).agg(F.count("*").alias("k"), *best)
     wide = (c("chr1") != c("chr2")) | (F.abs(c("pos2") - c("pos1")) > large)
-    a = bps.withColumn("pad", F.when(wide, far).otherwise(near))
-    other = bps.select(*(c(x).alias(f"o_{x}") for x in ("bp_num", "chr1", "pos1", "strand1", "chr2", "pos2", "strand2", "conf", "maxlod")))
+    a = places.select(*place, F.when(wide, far).otherwise(near).alias("pad"))
+    other = places.select(*(c(x).alias(f"o_{x}") for x in places.columns))
     met = iv.overlap_join(a, other, [("chr1", "o_chr1"), ("chr2", "o_chr2"), ("strand1", "o_strand1"), ("strand2", "o_strand2")], (c("pos1") - c("pad"), c("pos1") + c("pad")), (c("o_pos1"), c("o_pos1")), 512)
-    met = met.where((F.abs(c("o_pos2") - c("pos2")) <= c("pad")) & (c("o_bp_num") != c("bp_num")))
-    around = met.groupBy("bp_num").agg(F.count("*").alias("n"), F.max(((c("o_conf") == "PASS") == (c("conf") == "PASS")) & ((c("o_maxlod") > c("maxlod")) | ((c("o_maxlod") == c("maxlod")) & (c("o_bp_num") < c("bp_num"))))).alias("beaten"))
-    gone = around.where((c("n") > crowd) | c("beaten")).select(c("bp_num").alias("_gone"))
-    return bps.join(gone, c("bp_num") == c("_gone"), "left_anti")
+    met = met.where(F.abs(c("o_pos2") - c("pos2")) <= c("pad"))
+    around = met.groupBy(*(c(x).alias(f"_{x}") for x in place)).agg(F.sum("o_k").alias("_n"), F.max("o_best_true").alias("_true"), F.max("o_best_false").alias("_false"))
+    met = bps.join(around, [c(x) == c(f"_{x}") for x in place], "left")
+    beaten = F.when(c("conf") == "PASS", c("_true") > rank).otherwise(c("_false") > rank) & c("conf").isNotNull() & c("maxlod").isNotNull()
+    return met.where(~F.coalesce((c("_n") - 1 > crowd) | beaten, F.lit(False))).select(*bps.columns)

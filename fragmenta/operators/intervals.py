@@ -7,10 +7,14 @@ lies. The bin width is a parameter; it should be near the usual interval length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 4096
+#: Positions of a stretch: what a sweep handles in one place.
+STRETCH = 1 << 20
 
 
 def bins(start: Column, end: Column, width: int) -> Column:
@@ -47,12 +51,46 @@ def overlap_semi(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l
     return left.join(hit, cond, "left_anti" if anti else "left_semi")
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, label: str | None = None) -> DataFrame:
+def same_keys(keys: list[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return cond
+
+
+def carried(df: DataFrame, keys: list[str], value: Column, fold: Callable[[Column], Column], name: str) -> DataFrame:
+    """Adds what ``fold`` makes of the ``value``, an aggregate, of all earlier stretches (``_bin``) of the same keys; null in the first.
+
+    A sweep over a chromosome so needs one row of each stretch in one place, not all of its rows.
+    """
+    order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    each = df.groupBy(*keys, "_bin").agg(value.alias("_v")).withColumn("_carry", fold(F.col("_v")).over(order))
+    each = each.select(*(F.col(k).alias(f"_c_{k}") for k in [*keys, "_bin"]), F.col("_carry").alias(name))
+    return df.join(each, same_keys([*keys, "_bin"], "_c_"), "left").drop(*(f"_c_{k}" for k in [*keys, "_bin"]))
+
+
+def numbered_runs(df: DataFrame, keys: list[str], order: list[str], new: str, name: str) -> DataFrame:
+    """Adds the number, from 1, of the run that each row lies in: runs begin where ``new`` is 1; rows are dealt by keys and ``_bin``."""
+    within = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = carried(df, keys, F.sum(new), F.sum, "_runs").withColumn(name, F.coalesce("_runs", F.lit(0)) + F.sum(new).over(within))
+    return out.withColumn(name, F.col(name).cast("long")).drop("_runs")
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, stretch: int = STRETCH) -> DataFrame:
+    """Adds the ``value`` of the row before, by ``order`` (its first column a position), within the same keys."""
+    dealt = df.withColumn("_bin", F.floor(F.col(order[0]) / stretch))
+    met = carried(dealt, keys, F.max_by(F.struct(value), F.struct(*order)), F.last, "_last")
+    before = F.lag(F.struct(value)).over(Window.partitionBy(*keys, "_bin").orderBy(*order))
+    return met.withColumn(name, F.coalesce(before, F.col("_last"))[value]).drop("_bin", "_last")
+
+
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, label: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Overlapping (or at most ``gap`` apart) closed intervals of the same ``keys`` as one: (keys, start, end, n [, labels])."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = carried(df.withColumn("_bin", F.floor(F.col(start) / stretch)), keys, F.max(end), F.max, "_reach")
+    order = Window.partitionBy(*keys, "_bin").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.greatest(F.max(end).over(order), F.col("_reach"))
+    marked = dealt.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap), 1).otherwise(0))
+    marked = numbered_runs(marked, keys, [start, end], "_new", "_island")
     aggs = [F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")]
     if label:
         aggs.append(F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"))
@@ -66,14 +104,19 @@ def tile(regions: DataFrame, start: str, end: str, size: int = 25_000, pad: int
     return regions.withColumn("win_start", at).withColumn("win_end", F.least(F.col("win_start") + size, F.col(end)))
 
 
-def depth(df: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
+def depth(df: DataFrame, keys: list[str], start: Column, end: Column, stretch: int = STRETCH) -> DataFrame:
     """Runs of equal depth of closed intervals: (keys, run_start, run_end, depth), depth above 0.
 
-    A sweep over the +1 and -1 events of each key; no position is exploded.
+    A sweep over the +1 and -1 events of each key, stretch by stretch; no position is exploded.
     """
     events = df.select(*keys, F.explode(F.array(F.struct(start.alias("p"), F.lit(1).alias("d")), F.struct((end + 1).alias("p"), F.lit(-1).alias("d")))).alias("_e")).groupBy(*keys, F.col("_e.p").alias("run_start")).agg(F.sum("_e.d").alias("_d"))
-    order = Window.partitionBy(*keys).orderBy("run_start")
-    swept = events.withColumn("depth", F.sum("_d").over(order)).withColumn("run_end", F.lead("run_start").over(order) - 1)
+    dealt = events.withColumn("_bin", F.floor(F.col("run_start") / stretch))
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    sums = dealt.groupBy(*keys, "_bin").agg(F.sum("_d").alias("_s"), F.min("run_start").alias("_first"))
+    sums = sums.select(*(F.col(k).alias(f"_c_{k}") for k in [*keys, "_bin"]), F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_so_far"), F.lead("_first").over(order).alias("_next"))
+    within = Window.partitionBy(*keys, "_bin").orderBy("run_start")
+    swept = dealt.join(sums, same_keys([*keys, "_bin"], "_c_")).withColumn("depth", F.coalesce("_so_far", F.lit(0)) + F.sum("_d").over(within))
+    swept = swept.withColumn("run_end", F.coalesce(F.lead("run_start").over(within), "_next") - 1)
     return swept.where("depth > 0").select(*keys, "run_start", "run_end", "depth")
 
 

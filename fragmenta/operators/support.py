@@ -26,15 +26,17 @@ def alt_count(fragments: Column, cigar: Column) -> Column:
 def kmer_hits(texts: DataFrame, patterns: DataFrame, k: int, text: str = "seq", pattern: str = "pattern") -> DataFrame:
     """``texts`` x ``patterns`` where the text contains the pattern; every pattern has at least ``k`` characters.
 
-    The first k characters of the patterns are joined with the texts' k-mers, an equality, and the
-    whole pattern is then compared at that place. A k-mer that many patterns share costs their
-    number; one that many texts share is an ordinary skewed join key.
+    The first k characters of the patterns are joined with the texts' k-mers, an equality; a text's
+    k-mers come from one pass over it and carry its hash and their place alone. Only where they meet
+    a pattern the texts are fetched by hash, and the whole pattern is compared at that place. A k-mer
+    that many patterns share costs their number; one that many texts share is an ordinary skewed join key.
     """
     seeds = patterns.withColumn("_seed", F.substring(pattern, 1, k))
-    places = F.sequence(F.lit(1), F.length(text) - k + 1)
-    grams = texts.where(F.length(text) >= k).withColumn("_at", F.explode(places)).withColumn("_gram", F.substring(F.col(text), F.col("_at"), F.lit(k)))
-    met = grams.join(seeds, F.col("_gram") == F.col("_seed"))
-    return met.where(F.substring(F.col(text), F.col("_at"), F.length(pattern)) == F.col(pattern)).drop("_at", "_gram", "_seed")
+    hashed = texts.where(F.length(text) >= k).withColumn("_of", F.xxhash64(text))
+    grams = hashed.select(F.col("_of").alias("_text"), F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("_at", "_gram"))
+    met = grams.join(seeds, F.col("_gram") == F.col("_seed")).drop("_gram", "_seed").distinct()  # equal texts meet once
+    whole = hashed.join(met, F.col("_of") == F.col("_text"))
+    return whole.where(F.substring(F.col(text), F.col("_at") + 1, F.length(pattern)) == F.col(pattern)).drop("_at", "_of", "_text")
 
 
 def with_reverse(patterns: DataFrame, pattern: str, reverse: Column) -> DataFrame:

@@ -14,9 +14,34 @@ from fragmenta.sources import bps as bps_source
 LOD, LOD_DB, SOMATIC_LOD, SOMATIC_LOD_DB, READLEN = 1.0, 1.0, 0.0, 2.0, 150
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Rows numbered from 1; for results that are bounded by a limit."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def numbered(df: DataFrame, order: list[Column], name: str, lead: Column, parts: int = 200) -> DataFrame:
+    """All rows numbered from 1 by ``order``, dealt by ranges of ``lead``, a whole number that ascends with it (null: first).
+
+    Ranges end at quantiles; each is numbered for itself, behind the rows of those before. Rows of
+    one value of ``lead`` stay together.
+    """
+    keyed = df.withColumn("_lead", F.coalesce(lead.cast("long"), F.lit(-(1 << 62))))
+    ends = keyed.agg(F.percentile_approx("_lead", [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    ends = sorted(set(ends))
+    dealt = keyed.withColumn("_part", _range_of(F.col("_lead"), ends))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    met = dealt.join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return met.withColumn(name, rank).drop("_lead", "_part", "_p", "_before")
+
+
+def _range_of(value: Column, ends: list[int], first: int = 0) -> Column:
+    """The number of ``ends`` below ``value``, by halving."""
+    if not ends:
+        return F.lit(first)
+    half = len(ends) // 2
+    return F.when(value > ends[half], _range_of(value, ends[half + 1 :], first + half + 1)).otherwise(_range_of(value, ends[:half], first))
+
+
+def place(chrom: Column, pos: Column) -> Column:
+    """A whole number that ascends with (chrom, pos)."""
+    return chrom.cast("long") * (1 << 33) + F.coalesce(pos.cast("long"), F.lit(0))
 
 
 def postprocess(calls: DataFrame) -> dict[str, DataFrame]:

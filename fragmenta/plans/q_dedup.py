@@ -77,42 +77,45 @@ def w8(spark, d):
 ORDER = "CASE WHEN chr1 BETWEEN 1 AND 25 THEN chr1 ELSE 1000 END"
 
 
-@query("o1_total_order", f"SELECT bp_num, row_number() OVER (ORDER BY {ORDER}, CASE WHEN {ORDER} >= 1000 THEN chr1 END NULLS FIRST, pos1, strand1, {ORDER.replace('chr1', 'chr2')}, CASE WHEN {ORDER.replace('chr1', 'chr2')} >= 1000 THEN chr2 END NULLS FIRST, pos2, strand2, CAST(maxlod AS FLOAT) DESC, bp_num) AS rn FROM v_bps QUALIFY rn <= 500")
+@query("o1_total_order", f"SELECT bp_num, row_number() OVER (ORDER BY {ORDER}, CASE WHEN {ORDER} >= 1000 THEN chr1 END NULLS FIRST, pos1, strand1, {ORDER.replace('chr1', 'chr2')}, CASE WHEN {ORDER.replace('chr1', 'chr2')} >= 1000 THEN chr2 END NULLS FIRST, pos2, strand2, CAST(maxlod AS FLOAT) DESC, bp_num) AS rn FROM v_bps")
 def o1(spark, d):
     key = lambda x: F.when(c(x).between(1, 25), c(x)).otherwise(1000)
     name = lambda x: F.when(key(x) >= 1000, c(x))
     order = [key("chr1"), name("chr1").asc_nulls_first(), c("pos1"), c("strand1"), key("chr2"), name("chr2").asc_nulls_first(), c("pos2"), c("strand2"), c("maxlod").cast("float").desc(), c("bp_num")]
-    top = view(spark, d, "v_bps").orderBy(*order).limit(500)
-    return commands.numbered(top, order, "rn").select("bp_num", "rn")
+    lead = commands.place(key("chr1"), F.when(key("chr1") < 1000, c("pos1")).otherwise(c("chr1")))
+    return commands.numbered(view(spark, d, "v_bps"), order, "rn", lead).select("bp_num", "rn")
 
 
-@query("o2_somatic_order", "SELECT bp_num, row_number() OVER (ORDER BY chr1, pos1, chr2, pos2, somlod DESC, bp_num) AS rn FROM v_bps QUALIFY rn <= 300")
+@query("o2_somatic_order", "SELECT bp_num, row_number() OVER (ORDER BY chr1, pos1, chr2, pos2, somlod DESC, bp_num) AS rn FROM v_bps")
 def o2(spark, d):
     order = [c("chr1"), c("pos1"), c("chr2"), c("pos2"), c("somlod").desc(), c("bp_num")]
-    return commands.numbered(view(spark, d, "v_bps").orderBy(*order).limit(300), order, "rn").select("bp_num", "rn")
+    return commands.numbered(view(spark, d, "v_bps"), order, "rn", commands.place(c("chr1"), c("pos1"))).select("bp_num", "rn")
 
 
-@query("o3_symbolic_order", "SELECT bp_num, least((chr1, pos1), (chr2, pos2))[1] AS chr, least((chr1, pos1), (chr2, pos2))[2] AS pos FROM v_bps ORDER BY chr, pos, bp_num LIMIT 200")
+@query("o3_symbolic_order", "WITH k AS (SELECT bp_num, least((chr1, pos1), (chr2, pos2))[1] AS chr, least((chr1, pos1), (chr2, pos2))[2] AS pos FROM v_bps) SELECT *, row_number() OVER (ORDER BY chr, pos, bp_num) AS rn FROM k")
 def o3(spark, d):
     low = F.least(F.struct(c("chr1").alias("chr"), c("pos1").alias("pos")), F.struct(c("chr2").alias("chr"), c("pos2").alias("pos")))
-    return view(spark, d, "v_bps").select("bp_num", low.alias("k")).select("bp_num", "k.chr", "k.pos").orderBy("chr", "pos", "bp_num").limit(200)
+    rows = view(spark, d, "v_bps").select("bp_num", low.alias("k")).select("bp_num", "k.chr", "k.pos")
+    return commands.numbered(rows, [c("chr"), c("pos"), c("bp_num")], "rn", commands.place(c("chr"), c("pos")))
 
 
-@query("o4_coordinate_sort", "SELECT chr, count(*) AS n, min(pos) AS low, max(pos) AS high FROM v_reads GROUP BY chr")
+@query("o4_coordinate_sort", "SELECT chr, pos, row_number() OVER (ORDER BY chr, pos) AS rn FROM v_reads")
 def o4(spark, d):
-    """Coordinate sort by range partitions; its result is summarised, since a sum does not depend on order."""
-    dealt = view(spark, d, "v_reads").repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos", "qname", "mate")
-    return dealt.groupBy("chr").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    """Every read's place in coordinate order; reads at one position follow each other in any order, so only positions are given."""
+    order = [c("chr"), c("pos"), c("qname"), c("mate")]
+    return commands.numbered(view(spark, d, "v_reads").select("chr", "pos", "qname", "mate"), order, "rn", commands.place(c("chr"), c("pos"))).select("chr", "pos", "rn")
 
 
-@query("o5_natural_order", "SELECT bp_num FROM v_bps ORDER BY chr1, pos1, chr2, pos2, maxlod, somlod, bp_num LIMIT 100")
+@query("o5_natural_order", "SELECT bp_num, row_number() OVER (ORDER BY chr1, pos1, chr2, pos2, maxlod, somlod, bp_num) AS rn FROM v_bps")
 def o5(spark, d):
-    return view(spark, d, "v_bps").orderBy("chr1", "pos1", "chr2", "pos2", "maxlod", "somlod", "bp_num").limit(100).select("bp_num")
+    order = [c(x) for x in ("chr1", "pos1", "chr2", "pos2", "maxlod", "somlod", "bp_num")]
+    return commands.numbered(view(spark, d, "v_bps"), order, "rn", commands.place(c("chr1"), c("pos1"))).select("bp_num", "rn")
 
 
-@query("o7_contigs_by_length", "SELECT chr, max(pos) AS length FROM v_reads GROUP BY chr ORDER BY length DESC, chr LIMIT 30")
+@query("o7_contigs_by_length", "WITH n AS (SELECT chr, max(pos) AS length FROM v_reads GROUP BY chr) SELECT *, row_number() OVER (ORDER BY length DESC, chr) AS rn FROM n")
 def o7(spark, d):
-    return view(spark, d, "v_reads").groupBy("chr").agg(F.max("pos").alias("length")).orderBy(c("length").desc(), "chr").limit(30)
+    lengths = view(spark, d, "v_reads").groupBy("chr").agg(F.max("pos").alias("length"))
+    return commands.numbered(lengths, [c("length").desc(), c("chr")], "rn", -c("length"))
 
 
 @query("o9_widest_regions", "SELECT region_id, end_pos - start_pos AS width FROM v_regions ORDER BY width DESC, region_id LIMIT 20")

@@ -168,4 +168,5 @@ def d8(spark, d):
 
 @query("w9_interval_gaps", "SELECT region_id, start_pos - lag(end_pos) OVER (PARTITION BY chr ORDER BY start_pos, region_id) AS gap FROM v_regions")
 def w9(spark, d):
-    return view(spark, d, "v_regions").selectExpr("region_id", "start_pos - lag(end_pos) OVER (PARTITION BY chr ORDER BY start_pos, region_id) AS gap")
+    met = iv.previous(view(spark, d, "v_regions"), ["chr"], ["start_pos", "region_id"], "end_pos", "before")
+    return met.select("region_id", (c("start_pos") - c("before")).alias("gap"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fragmenta.operators import intervals as iv
 from fragmenta.operators import stats
 from fragmenta.plans.core import query
 from fragmenta.plans.fixtures import table, view
@@ -155,7 +157,11 @@ def a25(spark, d):
 @query("a26_power_law_fit", "WITH s AS (SELECT abs(pos2 - pos1) AS span FROM v_bps WHERE chr1 = chr2 AND pos1 <> pos2), k AS (SELECT span, count(*) AS n FROM s GROUP BY span), e AS (SELECT span, sum(n) OVER (ORDER BY span)::double / sum(n) OVER () AS p FROM k), l AS (SELECT log10(span) AS x, log10(1 - p) AS y FROM e WHERE p < 1) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM l")
 def a26(spark, d):
     spans = view(spark, d, "v_bps").where("chr1 = chr2 AND pos1 <> pos2").groupBy(F.abs(c("pos2") - c("pos1")).alias("span")).agg(F.count("*").alias("n"))
-    ecdf = spans.selectExpr("span", "sum(n) OVER (ORDER BY span) / sum(n) OVER () AS p").where("p < 1").select(F.log10("span").alias("x"), F.log10(1 - c("p")).alias("y"))
+    # a sweep over the distinct spans, stretch by stretch
+    dealt = iv.carried(spans.withColumn("_bin", F.floor(c("span") / iv.STRETCH)), [], F.sum("n"), F.sum, "_before")
+    upto = dealt.withColumn("upto", F.coalesce("_before", F.lit(0)) + F.sum("n").over(Window.partitionBy("_bin").orderBy("span")))
+    total = spans.agg(F.sum("n")).first()[0]
+    ecdf = upto.select("span", (c("upto") / F.lit(total)).alias("p")).where("p < 1").select(F.log10("span").alias("x"), F.log10(1 - c("p")).alias("y"))
     return ecdf.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"))
 
 

@@ -202,3 +202,41 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM once").count() == 4
+
+
+@pytest.mark.parametrize("stretch", [7, 40, 1 << 20])
+def test_sweeps_do_not_depend_on_stretches(spark, stretch):
+    rng = random.Random(stretch)
+    rows = [(rng.randint(0, 1), rng.randint(0, 300), k) for k in range(120)]
+    rows = [(k, a, a + rng.randint(0, 25), i) for k, a, i in rows]
+    df = spark.createDataFrame(rows, "k int, a long, b long, i int")
+    want, lags = [], {}
+    for key in (0, 1):
+        mine = sorted((a, b) for k, a, b, _ in rows if k == key)
+        for a, b in mine:
+            if want and want[-1][0] == key and a <= want[-1][2] + 3:
+                want[-1] = (key, want[-1][1], max(want[-1][2], b), want[-1][3] + 1)
+            else:
+                want.append((key, a, b, 1))
+        before = None
+        for _, a, b, i in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3])):
+            lags[i] = before
+            before = b
+    assert sorted(map(tuple, iv.merge_intervals(df, ["k"], "a", "b", 3, stretch=stretch).collect())) == sorted(want)
+    assert {r.i: r.p for r in iv.previous(df, ["k"], ["a", "i"], "b", "p", stretch).collect()} == lags
+    runs = iv.depth(df, ["k"], F.col("a"), F.col("b"), stretch).collect()
+    assert {(r.k, p): r.depth for r in runs for p in range(r.run_start, r.run_end + 1)} == {(k, p): n for k in (0, 1) for p in range(330) if (n := sum(x == k and a <= p <= b for x, a, b, _ in rows))}
+    number, last, found = {}, {}, {}
+    for k, a, _, i in sorted(rows, key=lambda r: (r[0], r[1])):
+        number[k] = number.get(k, 0) + (k not in last or a - last[k] > 4)
+        last[k] = a
+        found[i] = number[k]
+    assert {r.i: r.island for r in cluster.islands(df, ["k"], "a", [], 4, stretch).collect()} == found
+
+
+def test_numbers_follow_the_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(50)]), k) for k in range(500)]
+    out = commands.numbered(spark.createDataFrame(rows, "p long, k long"), [F.col("p").asc_nulls_first(), F.col("k")], "rn", F.col("p"), parts=9)
+    assert [r.k for r in out.orderBy("rn").collect()] == [k for _, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert [r.rn for r in out.orderBy("rn").collect()] == list(range(1, 501))
