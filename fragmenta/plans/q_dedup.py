@@ -264,9 +264,19 @@ def src7(spark, d):
     return bps_source.parse(bps_source.lines(whole)).select("chr1", "pos1", "conf", "span", "somlod", "bp_id", "version")
 
 
-@query("snk6_vcf_records", CANON + "SELECT count(*) * 2 AS records, CAST(sum(CASE WHEN chr1 = chr2 THEN 1 ELSE 0 END) AS BIGINT) AS symbolic FROM r WHERE rn = 1 AND conf = 'PASS'")
+KIND = "CASE WHEN strand1 = strand2 THEN 'DEL' WHEN strand1 = '-' THEN 'DUP' ELSE 'INV' END"
+SOMATIC = "CASE WHEN somlod >= 1 THEN ';SOMATIC' ELSE '' END"
+QUAL = "CAST(CAST(least(99, round(10 * greatest(0, maxlod::double))) AS INT) AS VARCHAR)"
+BND = """SELECT chr{0} AS chrom, pos{0} AS pos, bp_num || ':{0}' AS id, CASE WHEN strand{0} = '+' THEN 'N' || {2} ELSE {2} || 'N' END AS alt, {3} AS qual, 'EVENT=' || bp_num || ';MATEID=' || bp_num || ':{1};MAXLOD=' || printf('%.4g', maxlod::double) || {4} || ';SPAN=' || CASE WHEN chr1 = chr2 THEN abs(pos2 - pos1) ELSE -1 END || ';SVTYPE=BND' AS info FROM p"""
+PLACE = "(CASE WHEN strand{0} = '+' THEN ']' ELSE '[' END || chr{0} || ':' || pos{0} || CASE WHEN strand{0} = '+' THEN ']' ELSE '[' END)"
+RECORDS = CANON.rstrip() + f""", p AS (SELECT * FROM r WHERE rn = 1 AND conf = 'PASS'), s AS (SELECT *, {KIND} AS kind, least(pos1, pos2) AS low, greatest(pos1, pos2) AS high FROM p WHERE chr1 = chr2)
+{BND.format(1, 2, PLACE.format(2), QUAL, SOMATIC)} UNION ALL {BND.format(2, 1, PLACE.format(1), QUAL, SOMATIC)}
+UNION ALL SELECT chr1, low, CAST(bp_num AS VARCHAR), '<' || kind || '>', {QUAL}, 'END=' || high || {SOMATIC} || ';SVCLAIM=' || CASE WHEN kind = 'INV' THEN 'J' ELSE 'DJ' END || ';SVLEN=' || CASE WHEN kind = 'DEL' THEN low - high ELSE high - low END || ';SVTYPE=' || kind FROM s"""
+
+
+@query("snk6_vcf_records", RECORDS)
 def snk6(spark, d):
-    """Records of the deduplicated PASS calls: breakend pairs, and symbolic ones within a chromosome."""
+    """The text of all records of the deduplicated PASS calls: breakend pairs, and symbolic ones within a chromosome."""
     calls = dedup.canonical_pairs(view(spark, d, "v_bps")).where("conf = 'PASS'")
     ends, symbolic = commands.breakend_records(calls), commands.symbolic_records(calls.where("chr1 = chr2"))
-    return ends.agg(F.count("*").alias("records")).join(F.broadcast(symbolic.agg(F.count("*").alias("symbolic"))), F.lit(True))  # one row each
+    return ends.unionByName(symbolic).select("chrom", "pos", "id", "alt", "qual", "info")

@@ -34,10 +34,10 @@ def e22(spark, d):
     return view(spark, d, "v_bps").select("bp_num", F.format_string("bp%03d%08d", c("chr1"), c("bp_num")).alias("bp_id"))
 
 
-@query("e21_vcf_ids")
+@query("e21_vcf_ids", "WITH h AS (SELECT bp_num, substr(md5(concat_ws(':', chr1, pos1, chr2, pos2, strand1, strand2)), 1, 8) AS h FROM v_bps) SELECT bp_num, concat(h, '_', row_number() OVER (PARTITION BY h ORDER BY bp_num)) AS id FROM h")
 def e21(spark, d):
     """A call's VCF id: 32 bits of a hash of its places; equal ones are told apart by their number in order of calls."""
-    h = F.pmod(F.xxhash64("chr1", "pos1", "chr2", "pos2", "strand1", "strand2"), F.lit(1 << 32))
+    h = F.substring(F.md5(F.concat_ws(":", *(c(x).cast("string") for x in ("chr1", "pos1", "chr2", "pos2", "strand1", "strand2")))), 1, 8)
     return view(spark, d, "v_bps").select("bp_num", h.alias("h")).selectExpr("bp_num", "concat(h, '_', row_number() OVER (PARTITION BY h ORDER BY bp_num)) AS id")
 
 

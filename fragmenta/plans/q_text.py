@@ -11,7 +11,7 @@ from fragmenta.plans.fixtures import table, view
 from fragmenta.streaming import sessions
 
 c = F.col
-PATTERNS = "SELECT item_id, translate(substr(text, 1, 20), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS p FROM benchmark"
+PATTERNS = "SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS p FROM benchmark WHERE length(text) >= 20"
 BOTH = f"SELECT item_id, p FROM ({PATTERNS}) UNION SELECT item_id, reverse(p) FROM ({PATTERNS})"
 DOCS = "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seq FROM documents"
 
@@ -25,7 +25,7 @@ def docs(spark, d):
 
 
 def patterns(spark, d):
-    return table(spark, d, "benchmark").select("item_id", upper(F.substring("text", 1, 20)).alias("pattern"))
+    return table(spark, d, "benchmark").select("item_id", upper(c("text")).alias("pattern")).where("length(pattern) >= 20")
 
 
 @query("j12_motif_semi_join", f"WITH p AS ({BOTH}), t AS ({DOCS}) SELECT DISTINCT doc_id, item_id FROM t JOIN p ON contains(t.seq, p.p)")
@@ -64,9 +64,9 @@ def a14(spark, d):
     return hits.groupBy("bp_id").agg(F.count_distinct("qname", "mate").alias("n"))
 
 
-@query("snk8_sorted_counts", f"WITH t AS ({TURN}), p AS ({WORDS}) SELECT bp_id, count(*) AS n FROM (SELECT DISTINCT bp_id, qname, mate FROM t JOIN p ON contains(t.seq, p.p)) GROUP BY bp_id ORDER BY bp_id LIMIT 100")
+@query("snk8_sorted_counts", f"WITH t AS ({TURN}), p AS ({WORDS}) SELECT bp_id, count(*) AS n FROM (SELECT DISTINCT bp_id, qname, mate FROM t JOIN p ON contains(t.seq, p.p)) GROUP BY bp_id")
 def snk8(spark, d):
-    return a14(spark, d).orderBy("bp_id").limit(100)
+    return a14(spark, d).orderBy("bp_id")
 
 
 CIGAR = "concat(l_linenumber % 4, 'S', 20 + l_partkey % 50, 'M', 1 + l_suppkey % 9, CASE WHEN l_orderkey % 2 = 0 THEN 'I' ELSE 'D' END, 30 + l_orderkey % 40, 'M')"
@@ -118,16 +118,16 @@ def w7(spark, d):
     return o.where(c("seq").rlike("A{20,}|C{20,}|G{20,}|T{20,}")).select("id")
 
 
-@query("f12_fragment_sample")
+@query("f12_fragment_sample", "SELECT qname, mate FROM v_reads WHERE substr(md5(CAST(qname AS VARCHAR)), 1, 6) < '800000'")
 def f12(spark, d):
-    """Half of the fragments by a hash of their name: both mates or none."""
-    return view(spark, d, "v_reads").where(F.pmod(F.xxhash64("qname"), F.lit(1 << 24)) / (1 << 24) <= 0.5).select("qname", "mate")
+    """Half of the fragments by 24 bits of a hash of their name: both mates or none."""
+    return view(spark, d, "v_reads").where(F.substring(F.md5(c("qname").cast("string")), 1, 6) < "800000").select("qname", "mate")
 
 
-@query("k9_resample_fragments")
+@query("k9_resample_fragments", "SELECT qname, mate, unnest(CASE WHEN substr(md5(CAST(qname AS VARCHAR) || ':9'), 1, 6) < '800000' THEN [1, 2] ELSE [1] END) AS copy FROM v_reads")
 def k9(spark, d):
     """Fragments drawn at a rate of 1.5, with replacement: whole copies and a hashed rest."""
-    copies = F.lit(1) + (F.pmod(F.xxhash64("qname", F.lit(9)), F.lit(1000)) < 500).cast("int")
+    copies = F.lit(1) + (F.substring(F.md5(F.concat(c("qname").cast("string"), F.lit(":9"))), 1, 6) < "800000").cast("int")
     return view(spark, d, "v_reads").withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("qname", "mate", "copy")
 
 
