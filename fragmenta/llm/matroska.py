@@ -110,6 +110,8 @@ def _laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
             value, at = _vint(data, at, False)
             sizes.append(value if i == 0 else sizes[-1] + value - (1 << 7 * (at - before) - 1) + 1)
     else:
+        if (end - at) % n:
+            raise ValueError("fixed lacing with a remainder")
         sizes = [(end - at) // n] * (n - 1)
     out = []
     for size in sizes:
@@ -145,8 +147,8 @@ def parse(data: bytes) -> dict:
         while ends and ends[-1][1] == CLUSTER and ident in TOP:  # ends a cluster of unknown size
             ends.pop()
         end = (ends[-1][0] if ends else len(data)) if size < 0 else p + size
-        if end > len(data):
-            raise ValueError(f"element {ident:x} beyond the file")
+        if end > (ends[-1][0] if ends else len(data)):
+            raise ValueError(f"element {ident:x} beyond its parent or the file")
         if ident == CLUSTER:
             cluster = at
         if ident == SEGMENT:

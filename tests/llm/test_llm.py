@@ -109,6 +109,20 @@ def test_matroska_foreign_forms(spark):
     assert set(errors) == {1, 2}
 
 
+def test_matroska_refuses_broken_nesting_and_cues_point_at_clusters():
+    block = lambda body: matroska._element(matroska.BLOCK_GROUP, matroska._element(matroska.BLOCK, body))
+    cluster = lambda inner: matroska._element(matroska.CLUSTER, matroska._uint(matroska.TIMESTAMP, 1) + inner)
+    whole = lambda inner: matroska._HEADER + matroska._element(matroska.SEGMENT, matroska._TRACKS + inner)
+    assert len(matroska.parse(whole(cluster(block(b"\x81\x00\x00\x04\x02" + b"x" * 9))))["packets"]) == 3
+    with pytest.raises(ValueError, match="remainder"):
+        matroska.parse(whole(cluster(block(b"\x81\x00\x00\x04\x02" + b"x" * 10))))
+    long_child = matroska._element(matroska.BLOCK_GROUP, matroska._element(matroska.BLOCK, b"\x81\x00\x00\x00abc")[:-2])
+    with pytest.raises(ValueError, match="parent"):
+        matroska.parse(whole(cluster(long_child) + cluster(b"")))
+    found = matroska.parse(matroska.write_pcm(b"y" * 704_000))
+    assert found["cues"] and {x["offset"] for x in found["cues"]} <= {p[6] for p in found["packets"]}
+
+
 def test_subwords_equal_the_library():
     from tokenizers import Tokenizer
 
