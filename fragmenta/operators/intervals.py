@@ -120,6 +120,18 @@ def depth(df: DataFrame, keys: list[str], start: Column, end: Column, stretch: i
     return swept.where("depth > 0").select(*keys, "run_start", "run_end", "depth")
 
 
+def paste(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` at the same coordinates, null where it has none.
+
+    The tracks must lie on one grid: a row of ``right`` at coordinates that ``left`` lacks ends the query with an error.
+    """
+    other = right.select(*(F.col(k).alias(f"_p_{k}") for k in keys), *(x for x in right.columns if x not in keys), F.lit(True).alias("_there"))
+    met = left.withColumn("_here", F.lit(True)).join(other, same_keys(keys, "_p_"), "full")
+    astray = F.concat(F.lit("coordinates of one track only: "), F.concat_ws(":", *(F.col(f"_p_{k}").cast("string") for k in keys)))
+    checked = F.when(F.col("_here").isNull() & F.col("_there"), F.raise_error(astray).cast("boolean")).otherwise(True)
+    return met.where(checked).drop("_here", "_there", *(f"_p_{k}" for k in keys))
+
+
 def clip(df: DataFrame, lengths: DataFrame, chrom: str, start: str, end: str) -> DataFrame:
     """Ends cut to the chromosome's length, rows that start beyond it dropped; unknown chromosomes pass through."""
     known = lengths.select(F.col("chrom").alias("_c"), F.col("length").alias("_n"))

@@ -120,9 +120,9 @@ BINNED = "SELECT chr, pos // 1000 AS bin, count(*) AS all_reads, CAST(sum(CASE W
 
 @query("j15_paste_join", "WITH a AS (SELECT chr, pos // 1000 AS bin, count(*) AS n FROM v_reads GROUP BY 1, 2), b AS (SELECT chr, pos // 1000 AS bin, count(*) AS n FROM v_reads WHERE mapq >= 20 GROUP BY 1, 2) SELECT a.chr, a.bin, a.n AS depth, coalesce(b.n, 0) AS good_depth, round(coalesce(b.n, 0)::double / a.n, 6) AS ratio FROM a LEFT JOIN b ON a.chr = b.chr AND a.bin = b.bin")
 def j15(spark, d):
-    binned = reads(spark, d).groupBy("chr", F.expr("pos div 1000").alias("bin"))
-    both = binned.agg(F.count("*").alias("depth"), F.sum(F.when(c("mapq") >= 20, 1).otherwise(0)).alias("good_depth"))
-    return both.withColumn("ratio", F.round(c("good_depth") / c("depth"), 6))
+    all_ = reads(spark, d).groupBy("chr", F.expr("pos div 1000").alias("bin")).agg(F.count("*").alias("depth"))
+    good = reads(spark, d).where("mapq >= 20").groupBy("chr", F.expr("pos div 1000").alias("bin")).agg(F.count("*").alias("good_depth"))
+    return iv.paste(all_, good, ["chr", "bin"]).select("chr", "bin", "depth", F.coalesce("good_depth", F.lit(0)).alias("good_depth")).withColumn("ratio", F.round(c("good_depth") / c("depth"), 6))
 
 
 @query("a19_low_quality_blacklist", f"WITH b AS ({BINNED}), f AS (SELECT chr, bin * 1000 AS s, bin * 1000 + 1000 AS e FROM b WHERE good::double / all_reads <= 0.5), x AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 0 ELSE 1 END AS nw FROM f), y AS (SELECT *, sum(nw) OVER (PARTITION BY chr ORDER BY s) AS i FROM x), m AS (SELECT chr, min(s) AS s, max(e) AS e, count(*) AS n FROM y GROUP BY chr, i) SELECT chr, s, e, n, e - s AS width FROM m ORDER BY e - s DESC, chr, s LIMIT 20")

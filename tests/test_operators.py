@@ -240,3 +240,11 @@ def test_numbers_follow_the_order(spark):
     out = commands.numbered(spark.createDataFrame(rows, "p long, k long"), [F.col("p").asc_nulls_first(), F.col("k")], "rn", F.col("p"), parts=9)
     assert [r.k for r in out.orderBy("rn").collect()] == [k for _, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
     assert [r.rn for r in out.orderBy("rn").collect()] == list(range(1, 501))
+
+
+def test_paste_asserts_the_grid(spark):
+    a = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (None, 2, 7)], "chr int, bin int, n int")
+    b = spark.createDataFrame([(1, 1, 3), (None, 2, 4)], "chr int, bin int, m int")
+    assert sorted(((r.chr or 0), r.bin, r.n, r.m) for r in iv.paste(a, b, ["chr", "bin"]).collect()) == [(0, 2, 7, 4), (1, 0, 5, None), (1, 1, 6, 3)]
+    with pytest.raises(Exception, match="coordinates of one track only: 9:9"):
+        iv.paste(a, b.unionByName(spark.createDataFrame([(9, 9, 1)], b.schema)), ["chr", "bin"]).collect()
