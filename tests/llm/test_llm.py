@@ -540,6 +540,22 @@ def test_lm_memory_equals_brute_force(spark, monkeypatch, most):
     assert np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=5e-3)
 
 
+def test_lm_learns_from_every_window_of_every_training_document(spark):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 40, size) for size in (*rng.integers(0, 60, 1100), 20_000)]  # more documents than the former sample, one of 714 windows
+    model = lm_model(rng, texts, 40)
+    _, targets, bounds = lm_stream(texts, 40)
+    starts = attention.window_starts(bounds)
+    passes = [lm.pass_windows(targets, bounds, others) for others in (False, True)]
+    assert sorted(np.concatenate(passes).tolist()) == list(range(starts[-1]))
+    assert set(np.searchsorted(starts, passes[0], "right") - 1) == set(range(len(texts)))
+    rows = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in texts], "ids binary").repartition(3)
+    moved, first = lm._descended(rows, model, np.uint16, lm.RATE, False)
+    again, second = lm._descended(rows, moved, np.uint16, lm.SECOND_RATE, True)
+    assert (first, second) == tuple(map(len, passes)) and first + second == starts[-1]
+    assert not np.array_equal(attention.weights_of(model), attention.weights_of(moved)) and not np.array_equal(attention.weights_of(moved), attention.weights_of(again))
+
+
 def test_lm_tells_repeats_apart(spark):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(150))
