@@ -540,6 +540,32 @@ def test_lm_memory_equals_brute_force(spark, monkeypatch, most):
     assert np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=5e-3)
 
 
+def test_few_links_are_folded_in_few_queries(spark, monkeypatch):
+    rng = random.Random(8)
+    chain = list(range(300))
+    rng.shuffle(chain)
+    links = list(zip(chain, chain[1:], strict=False)) + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(250)] + [(-5, 2000), (7, 7), (1 << 40, 2000)]
+    parent = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted((i, find(i)) for i in {x for link in links for x in link} if find(i) != i)
+    df = spark.createDataFrame(links, "a long, b long")
+    found = lambda df: sorted((r.id, r.root) for r in jaccard.components(df).collect())
+    spark.sparkContext.setJobGroup("few links", "")
+    assert found(df) == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 10
+    spark.sparkContext.setJobGroup("others", "")
+    assert found(df.limit(0)) == []
+    monkeypatch.setattr(jaccard, "FOLDED", -1)
+    assert found(df) == want
+
+
 def test_lm_learns_from_every_window_of_every_training_document(spark):
     rng = np.random.default_rng(6)
     texts = [rng.integers(0, 40, size) for size in (*rng.integers(0, 60, 1100), 20_000)]  # more documents than the former sample, one of 714 windows
