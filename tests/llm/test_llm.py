@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -582,6 +583,68 @@ def test_lm_learns_from_every_window_of_every_training_document(spark):
     assert not np.array_equal(attention.weights_of(model), attention.weights_of(moved)) and not np.array_equal(attention.weights_of(moved), attention.weights_of(again))
 
 
+def lm_batches(rng, n):
+    """A model, and windows for ``n`` steps of its descent."""
+    texts = [rng.integers(0, 5000, 300) for _ in range(30)]
+    model = lm_model(rng, texts, 5000)
+    inputs, targets, bounds = lm_stream(texts, 5000)
+    at, scored = attention.windows_at(bounds, rng.integers(0, attention.window_starts(bounds)[-1], n * attention.BATCH))
+    parts = [slice(k, k + attention.BATCH) for k in range(0, len(at), attention.BATCH)]
+    return model, [(inputs[at[x]], model.classes[targets[at[x]]], scored[x]) for x in parts]
+
+
+def test_lm_descent_equals_plain_adam():
+    model, batches = lm_batches(np.random.default_rng(12), 4)
+    given = attention.weights_of(model)
+    descent = attention.Descent(model, 0.01)
+    for step, (before, aim, scored) in enumerate(batches, 1):
+        old = descent.model
+        first, second = ({k: d.copy() for k, d in attention._parts(model, v.astype(float)).items()} for v in (0.1 * descent.first, 0.01 * descent.second))
+        want, found = {}, attention.gradients(old, before, aim, scored / np.float32(scored.sum()))[0]
+        for k in attention.TRAINED:
+            g = found[k].astype(float)
+            one, two = (0.9 * first[k] + 0.1 * g) / (1 - 0.9**step), (0.99 * second[k] + 0.01 * g**2) / (1 - 0.99**step)
+            want[k] = getattr(old, k) - 0.01 * min(1, step / 20) * one / (np.sqrt(two) + 1e-8)
+        descent.learn(before, aim, scored)
+        for k in attention.TRAINED:
+            assert np.allclose(getattr(descent.model, k), want[k], atol=2e-5), k
+    assert np.array_equal(attention.weights_of(model), given) and not np.array_equal(attention.weights_of(descent.model), given)
+
+
+def test_lm_step_costs_little_more_than_its_products():
+    model, batches = lm_batches(np.random.default_rng(13), 20)
+    windows, rows = np.ones((attention.BATCH, attention.WINDOW, attention.WINDOW), np.float32), np.ones((attention.BATCH, attention.WINDOW, attention.DIM), np.float32)
+    descent = attention.Descent(model, 0.003)
+
+    def products():
+        for _ in batches:
+            for _ in range(3):
+                windows @ rows, rows @ rows.transpose(0, 2, 1)
+            np.exp(windows), np.exp(windows)
+
+    def steps():
+        for batch in batches:
+            descent.learn(*batch)
+
+    def seconds(run):
+        begin = time.thread_time()
+        run()
+        return time.thread_time() - begin
+
+    both = [(seconds(steps), seconds(products)) for _ in range(9)]
+    assert min(a for a, _ in both) < 4 * min(b for _, b in both)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_lm_places_of_hashes(n):
+    rng = np.random.default_rng(n)
+    known = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+    known = np.unique(np.append(known, known[:40] + np.arange(len(known[:40]), dtype=np.uint64)))  # some behind one another
+    keys = np.concatenate([known, known + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    (hit, at), (want, where) = lm.Places(known).of(keys), lm._found(known, keys)
+    assert np.array_equal(hit, want) and np.array_equal(at[hit], where[want]) and hit.sum() >= len(known)
+
+
 def test_lm_tells_repeats_apart(spark):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(150))
