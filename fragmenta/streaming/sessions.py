@@ -16,7 +16,8 @@ def session_clusters(events: DataFrame, gap: str = "1 hour", late: str | None =
     """
     source = events.withColumn("ts", F.date_trunc("second", "ts"))
     source = source.withWatermark("ts", late) if late else source
-    found = source.groupBy("user_id", F.session_window("ts", gap).alias("_w")).agg(F.min(F.unix_timestamp("ts")).alias("first"), F.max(F.unix_timestamp("ts")).alias("last"), F.count("*").alias("n"))
+    # session windows that only touch become one, so events exactly ``gap`` apart need a window of a microsecond less
+    found = source.groupBy("user_id", F.session_window("ts", f"{gap} -1 microseconds").alias("_w")).agg(F.min(F.unix_timestamp("ts")).alias("first"), F.max(F.unix_timestamp("ts")).alias("last"), F.count("*").alias("n"))
     return found.where(F.col("n") >= least).select("user_id", "first", "last", "n")
 
 

@@ -204,6 +204,12 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT * FROM once").count() == 4
 
 
+def test_events_a_gap_apart_are_two_sessions(spark):
+    rows = [(1, "2024-01-01 00:00:00.9"), (1, "2024-01-01 01:00:00.1"), (2, "2024-01-01 00:00:00.9"), (2, "2024-01-01 00:59:59.9")]
+    df = spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.to_timestamp("t").alias("ts"))
+    assert [(r.user_id, r.n) for r in sessions.session_clusters(df).collect()] == [(2, 2)]
+
+
 @pytest.mark.parametrize("stretch", [7, 40, 1 << 20])
 def test_sweeps_do_not_depend_on_stretches(spark, stretch):
     rng = random.Random(stretch)
