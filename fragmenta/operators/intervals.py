@@ -36,19 +36,62 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l
     return a.join(b, cond).drop("_ls", "_le", "_lbin", "_rs", "_re", "_rbin")
 
 
+def with_overlap(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l: tuple[Column, Column], r: tuple[Column, Column], name: str, width: int = WIDTH) -> DataFrame:
+    """``left`` with the boolean ``name``: whether the row overlaps any row of ``right``, as ``overlap_join`` says it.
+
+    The right intervals are merged first, so a bin holds no more of them than its width allows, however
+    many lie there. A row is looked up once, in the bin of its start, which knows the merged intervals
+    that touch it and where the first one of a later bin starts; no pair is made.
+    """
+    keys = [f"_k{i}" for i in range(len(on))]
+    there = right.select(*(F.col(y).alias(k) for k, (_, y) in zip(keys, on, strict=True)), r[0].alias("_rs"), r[1].alias("_re"))
+    there = there.where(F.col("_rs") <= F.col("_re")).dropna(subset=keys).groupBy(*keys, "_rs").agg(F.max("_re").alias("_re"))
+    there = merge_intervals(there, keys, "_rs", "_re").withColumn("_bin", F.explode(bins(F.col("_rs"), F.col("_re"), width)))
+    held = there.groupBy(*keys, "_bin").agg(F.collect_list(F.struct("_rs", "_re")).alias("_in"), F.min("_rs").alias("_first"))
+    asked = left.select(*(F.col(x).alias(k) for k, (x, _) in zip(keys, on, strict=True)), F.floor(l[0] / width).alias("_bin")).dropna().distinct()
+    cells = held.join(asked, [*keys, "_bin"], "full")
+    later = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    cells = cells.select(*keys, "_bin", "_in", F.min("_first").over(later).alias("_next"))
+    cond = F.floor(l[0] / width) == F.col("_bin")
+    for k, (x, _) in zip(keys, on, strict=True):
+        cond = cond & (F.col(x) == F.col(k))
+    hit = F.coalesce(F.exists("_in", lambda x: (x["_rs"] <= l[1]) & (x["_re"] >= l[0])), F.lit(False)) | F.coalesce(F.col("_next") <= l[1], F.lit(False))
+    return left.join(cells, cond, "left").withColumn(name, hit & F.coalesce(l[0] <= l[1], F.lit(False))).drop(*keys, "_bin", "_in", "_next")
+
+
 def overlap_semi(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l: tuple[Column, Column], r: tuple[Column, Column], width: int = WIDTH, anti: bool = False) -> DataFrame:
-    """Rows of ``left`` that overlap any (``anti``: no) row of ``right``.
+    """Rows of ``left`` that overlap any (``anti``: no) row of ``right``."""
+    return with_overlap(left, right, on, l, r, "_hit", width).where(~F.col("_hit") if anti else F.col("_hit")).drop("_hit")
+
+
+def first_overlap(points: DataFrame, intervals: DataFrame, on: list[tuple[str, str]], p: Column, r: tuple[Column, Column], tie: str, width: int = 512) -> DataFrame:
+    """Inner join of each point with the one interval of least (start, ``tie``) that holds it; ends are whole numbers.
+
+    An interval wins from its start, or from where all earlier ones have ended, to its end. These
+    parts are disjoint, so a point meets one at most, however many intervals hold it.
+    """
+    keys = [y for _, y in on]
+    there = intervals.withColumn("_fs", r[0]).withColumn("_fe", r[1]).where("_fs <= _fe").withColumn("_bin", F.floor(F.col("_fs") / STRETCH))
+    order = Window.partitionBy(*keys, "_bin").orderBy("_fs", tie).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = carried(there, keys, F.max("_fe"), F.max, "_reach").withColumn("_before", F.greatest(F.max("_fe").over(order), F.col("_reach")))
+    wins = dealt.where(F.col("_before").isNull() | (F.col("_fe") > F.col("_before"))).withColumn("_fs", F.greatest("_fs", F.col("_before") + 1)).drop("_bin", "_reach", "_before")
+    return overlap_join(points, wins, on, (p, p), (F.col("_fs"), F.col("_fe")), width).drop("_fs", "_fe")
+
+
+def points_within(points: DataFrame, intervals: DataFrame, on: list[tuple[str, str]], p: Column, r: tuple[Column, Column], ident: str, stretch: int = 1 << 16) -> DataFrame:
+    """(``ident``, n): how many points the intervals of each ``ident`` hold, 0 included.
 
-    Whether a row does depends on its interval and keys alone, so distinct ones are looked up and
-    wide rows are not copied over bins.
+    One sweep over the counted points with the intervals' ends among them: what was met up to an end less what was met before the start. No pair is made.
     """
-    narrow = left.select(*(F.col(x).alias(f"_k{i}") for i, (x, _) in enumerate(on)), l[0].alias("_s"), l[1].alias("_e")).distinct()
-    hit = overlap_join(narrow, right, [(f"_k{i}", y) for i, (_, y) in enumerate(on)], (F.col("_s"), F.col("_e")), r, width)
-    hit = hit.select(*(f"_k{i}" for i in range(len(on))), "_s", "_e").distinct()
-    cond = (l[0] == F.col("_s")) & (l[1] == F.col("_e"))
-    for i, (x, _) in enumerate(on):
-        cond = cond & (F.col(x) == F.col(f"_k{i}"))
-    return left.join(hit, cond, "left_anti" if anti else "left_semi")
+    keys = [f"_k{i}" for i in range(len(on))]
+    met = points.select(*(F.col(x).alias(k) for k, (x, _) in zip(keys, on, strict=True)), p.alias("_p")).dropna().groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    there = intervals.select(*(F.col(y).alias(k) for k, (_, y) in zip(keys, on, strict=True)), F.col(ident), r[0].alias("_rs"), r[1].alias("_re")).where("_rs <= _re")
+    ends = F.array(F.struct(F.col("_rs").alias("p"), F.lit(0).alias("o"), F.lit(-1).alias("f")), F.struct(F.col("_re").alias("p"), F.lit(2).alias("o"), F.lit(1).alias("f")))
+    asks = there.dropna(subset=keys).withColumn("_e", F.explode(ends)).select(*keys, F.col("_e.p").alias("_p"), F.col("_e.o").alias("_o"), F.lit(0).cast("long").alias("_c"), ident, F.col("_e.f").alias("_f"))
+    both = met.withColumn("_o", F.lit(1)).unionByName(asks, allowMissingColumns=True).withColumn("_bin", F.floor(F.col("_p") / stretch))
+    within = Window.partitionBy(*keys, "_bin").orderBy("_p", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    swept = carried(both, keys, F.sum("_c"), F.sum, "_base").withColumn("_so_far", F.coalesce("_base", F.lit(0)) + F.sum("_c").over(within))
+    return swept.where("_f IS NOT NULL").groupBy(ident).agg(F.sum(F.col("_f") * F.col("_so_far")).cast("long").alias("n"))
 
 
 def same_keys(keys: list[str], prefix: str) -> Column:

@@ -82,6 +82,28 @@ def test_overlap_join_equals_nested_loop(spark, width):
     assert iv.overlap_semi(left, right, *args, width, anti=True).count() == len(a) - len({x for x, _ in want})
 
 
+@pytest.mark.parametrize("width", [1, 64, 5000])
+def test_overlaps_without_pairs_equal_nested_loops(spark, width):
+    a, left = random_intervals(spark, 12, 150)
+    b, right = random_intervals(spark, 13, 60, "r_")
+    b += [(7, None, 0, 900), (8, 1, None, 40)]
+    right = right.unionByName(spark.createDataFrame(b[-2:], right.schema))
+    a += [(900, None, 5, 9), (901, 1, None, 9), (902, 2, 9, None)]
+    left = left.unionByName(spark.createDataFrame(a[-3:], left.schema))
+    on, ends = [("chr", "r_chr")], (c("r_s"), c("r_e"))
+    usable = [y for y in b if None not in y and y[2] <= y[3]]
+    hit = {x[0]: None not in x and any(x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3] and x[2] <= x[3] for y in usable) for x in a}
+    assert {r.id: r.hit for r in iv.with_overlap(left, right, on, (c("s"), c("e")), ends, "hit", width).collect()} == hit
+    over = lambda x: [y for y in usable if x[1] == y[1] and x[2] is not None and y[2] <= x[2] <= y[3]]
+    first = {x[0]: min(over(x), key=lambda y: (y[2], y[0]))[0] for x in a if over(x)}
+    assert {r.id: r.r_id for r in iv.first_overlap(left, right, on, c("s"), ends, "r_id", width).collect()} == first
+    held = {y[0]: 0 for y in usable}
+    for x in a:
+        for y in over(x):
+            held[y[0]] += 1
+    assert {r.r_id: r.n for r in iv.points_within(left, right, on, c("s"), ends, "r_id", width).collect()} == held
+
+
 def test_merge_is_idempotent(spark):
     _, df = random_intervals(spark, 4, 200)
     df = df.where("s <= e")
