@@ -66,10 +66,8 @@ def f8(spark, d):
 def f9(spark, d):
     g = view(spark, d, "v_regions").select(*(c(x).alias(f"g_{x}") for x in ("chr", "start_pos", "end_pos")))
     r = view(spark, d, "v_reads").withColumn("dd", fl.discordant(c("strand"), c("mate_strand"), c("chr"), c("mate_chr"), c("isize"), F.lit(800)).cast("int"))
-    args = ([("chr", "g_chr")], (c("pos"), c("pos") + 150), (c("g_start_pos"), c("g_end_pos")))
-    clear = iv.overlap_semi(r, g, *args, anti=True).select("dd")
-    black = iv.overlap_semi(r, g, *args).select(F.lit(0).alias("dd"))
-    return clear.unionByName(black).groupBy("dd").agg(F.count("*").alias("n"))
+    r = iv.with_overlap(r, g, [("chr", "g_chr")], (c("pos"), c("pos") + 150), (c("g_start_pos"), c("g_end_pos")), "black")
+    return r.select(F.when(c("black"), 0).otherwise(c("dd")).alias("dd")).groupBy("dd").agg(F.count("*").alias("n"))
 
 
 @query("f10_region_caps", "SELECT chr, pos // 25000 AS win, count(*) AS n FROM v_reads GROUP BY 1, 2 HAVING count(*) <= 70")
