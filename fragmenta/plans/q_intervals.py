@@ -148,7 +148,7 @@ def j17(spark, d):
 
 @query("j18_first_overlap_rate", "SELECT qname, mate, arg_min(region_id, (start_pos, region_id)) AS region_id FROM v_reads r JOIN v_regions g ON r.chr = g.chr AND r.pos BETWEEN start_pos AND end_pos GROUP BY qname, mate")
 def j18(spark, d):
-    met = iv.overlap_join(reads(spark, d).select("qname", "mate", "chr", "pos"), regions(spark, d), [("chr", "g_chr")], (c("pos"), c("pos")), near())
+    met = iv.first_overlap(reads(spark, d).select("qname", "mate", "chr", "pos"), regions(spark, d), [("chr", "g_chr")], c("pos"), near(), "g_region_id")
     return met.groupBy("qname", "mate").agg(F.min_by("g_region_id", F.struct("g_start_pos", "g_region_id")).alias("region_id"))
 
 
