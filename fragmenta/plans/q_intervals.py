@@ -104,8 +104,8 @@ def a7(spark, d):
 @query("a10_mate_region_support", "SELECT region_id, count(*) AS n FROM v_regions g JOIN v_reads r ON r.mate_chr = g.chr AND r.mate_pos BETWEEN start_pos AND end_pos WHERE mapq >= 10 GROUP BY region_id HAVING count(*) >= 2")
 def a10(spark, d):
     mates = reads(spark, d).where("mapq >= 10").select("mate_chr", "mate_pos")
-    met = iv.overlap_join(mates, regions(spark, d), [("mate_chr", "g_chr")], (c("mate_pos"), c("mate_pos")), near())
-    return met.groupBy(c("g_region_id").alias("region_id")).agg(F.count("*").alias("n")).where("n >= 2")
+    met = iv.points_within(mates, regions(spark, d), [("mate_chr", "g_chr")], c("mate_pos"), near(), "g_region_id")
+    return met.select(c("g_region_id").alias("region_id"), "n").where("n >= 2")
 
 
 @query("j10_position_coverage", "SELECT region_id, count(*) AS reads, CAST(max(mapq) AS INT) AS top FROM v_regions g JOIN v_reads r ON r.chr = g.chr AND r.pos = g.start_pos GROUP BY region_id")
