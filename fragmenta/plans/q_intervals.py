@@ -33,8 +33,10 @@ def j1(spark, d):
 
 @query("j1_breakend_blacklist", "SELECT bp_num FROM v_bps b WHERE EXISTS (SELECT 1 FROM v_regions g WHERE (g.chr = b.chr1 AND b.pos1 * 2000 BETWEEN g.start_pos AND g.end_pos) OR (g.chr = b.chr2 AND b.pos2 * 2000 BETWEEN g.start_pos AND g.end_pos))")
 def j1_either_end(spark, d):
-    ends = view(spark, d, "v_bps").select("bp_num", F.explode(F.array(F.struct(c("chr1").alias("chr"), (c("pos1") * 2000).alias("pos")), F.struct(c("chr2").alias("chr"), (c("pos2") * 2000).alias("pos")))).alias("e")).select("bp_num", "e.*")
-    return iv.overlap_join(ends, regions(spark, d), [("chr", "g_chr")], (c("pos"), c("pos")), near()).select("bp_num").distinct()
+    bps = view(spark, d, "v_bps").select("bp_num", "chr1", "chr2", (c("pos1") * 2000).alias("p1"), (c("pos2") * 2000).alias("p2"))
+    for k in "12":
+        bps = iv.with_overlap(bps, regions(spark, d), [(f"chr{k}", "g_chr")], (c(f"p{k}"), c(f"p{k}")), near(), f"in{k}")
+    return bps.where("in1 OR in2").select("bp_num")
 
 
 @query("j2_paired_range_semi", "SELECT bp_num FROM v_bps b WHERE EXISTS (SELECT 1 FROM v_bps k WHERE k.conf = 'LOWLOD' AND k.bp_num <> b.bp_num AND k.chr1 = b.chr1 AND k.chr2 = b.chr2 AND abs(k.pos1 - b.pos1) <= 10 AND abs(k.pos2 - b.pos2) <= 10)")
