@@ -43,15 +43,34 @@ def correct(seq: str, solid: set[str], k: int, rounds: int = 3) -> str:
     return seq
 
 
+def _dealt(df: DataFrame, window: str) -> DataFrame:
+    """Rows dealt by window over as many tasks as a shuffle has: the groups are small in bytes but long in work, so none are put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), window)
+
+
+def _back(reads: DataFrame, found: DataFrame, window: str, seq: str) -> DataFrame:
+    """``reads`` with what was ``found`` for the distinct sequences of each window."""
+    other = found.withColumnsRenamed({window: "_w", seq: "_s"})
+    return reads.join(other, (F.col(window) == F.col("_w")) & (F.col(seq) == F.col("_s"))).drop("_w", "_s")
+
+
 def correct_reads(reads: DataFrame, window: str = "win", seq: str = "seq", k: int = 15, least: int = 3) -> DataFrame:
-    """``reads`` (window, read_id, seq) with ``corrected``, by the k-mers of each window's own reads."""
+    """``reads`` (window, read_id, seq) with ``corrected``, by the k-mers of each window's own reads.
+
+    Equal reads are corrected alike, so a group holds a window's distinct sequences and their numbers.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = Counter(s[i : i + k] for s in rows[seq] for i in range(len(s) - k + 1))
+        counts: Counter = Counter()
+        for s, n in zip(rows[seq], rows["_n"], strict=True):
+            for i in range(len(s) - k + 1):
+                counts[s[i : i + k]] += n
         solid = {x for x, n in counts.items() if n >= least}
-        return rows.assign(corrected=[correct(s, solid, k) for s in rows[seq]])
+        return rows[[window, seq]].assign(corrected=[correct(s, solid, k) for s in rows[seq]])
 
-    return reads.select(window, "read_id", seq).groupBy(window).applyInPandas(run, f"{window} long, read_id long, {seq} string, corrected string")
+    each = reads.groupBy(window, seq).agg(F.count("*").alias("_n"))
+    fixed = _dealt(each, window).groupBy(window).applyInPandas(run, f"{window} long, {seq} string, corrected string")
+    return _back(reads.select(F.col(window).cast("long").alias(window), F.col("read_id").cast("long").alias("read_id"), seq), fixed, window, seq)
 
 
 def greedy_contigs(seqs: list[str], least: int) -> list[str]:
@@ -86,7 +105,7 @@ def assemble(reads: DataFrame, window: str = "win", seq: str = "seq", least: int
         found = sorted(greedy_contigs(rows[seq].tolist(), least), key=lambda s: (-len(s), s))
         return pd.DataFrame({window: w, "cname": [f"c_{w}_{i}" for i in range(len(found))], "contig": found})
 
-    return reads.select(window, seq).groupBy(window).applyInPandas(run, f"{window} long, cname string, contig string")
+    return _dealt(reads.select(window, seq).distinct(), window).groupBy(window).applyInPandas(run, f"{window} long, cname string, contig string")
 
 
 def align(query: str, target: str, match: int = 1, mismatch: int = -4, gap: int = -6) -> tuple[int, int, int, int, int]:
@@ -116,19 +135,24 @@ def align(query: str, target: str, match: int = 1, mismatch: int = -4, gap: int
 
 
 def align_reads(reads: DataFrame, contigs: DataFrame, window: str = "win", seq: str = "seq") -> DataFrame:
-    """(window, read_id, cname, score, contig_start, contig_end): each read's best contig of its window; ties go to the first name."""
+    """(window, read_id, cname, score, contig_start, contig_end): each read's best contig of its window; ties go to the first name.
+
+    Equal reads align alike, so each distinct sequence of a window is aligned once.
+    """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         targets = sorted(zip(right["cname"], right["contig"], strict=True))
-        for ident, s in zip(left["read_id"], left[seq], strict=True):
+        for s in left[seq]:
             found = [(align(s, t), name) for name, t in targets]
             if found:
                 (score, _, _, a, b), name = max(found, key=lambda x: (x[0][0], [-ord(ch) for ch in x[1]]))
-                rows.append((int(key[0]), int(ident), name, score, a, b))
-        return pd.DataFrame(rows, columns=[window, "read_id", "cname", "score", "contig_start", "contig_end"])
+                rows.append((int(key[0]), s, name, score, a, b))
+        return pd.DataFrame(rows, columns=[window, seq, "cname", "score", "contig_start", "contig_end"])
 
-    return reads.select(window, "read_id", seq).groupBy(window).cogroup(contigs.groupBy(window)).applyInPandas(run, f"{window} long, read_id long, cname string, score long, contig_start long, contig_end long")
+    each = _dealt(reads.select(window, seq).distinct(), window)
+    found = each.groupBy(window).cogroup(_dealt(contigs, window).groupBy(window)).applyInPandas(run, f"{window} long, {seq} string, cname string, score long, contig_start long, contig_end long")
+    return _back(reads.select(F.col(window).cast("long").alias(window), F.col("read_id").cast("long").alias("read_id"), seq), found, window, seq).drop(seq)
 
 
 def clipped_realignment(reads: DataFrame, least_gain: int = 1) -> DataFrame:

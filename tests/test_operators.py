@@ -209,6 +209,36 @@ def test_kernels():
     assert kernels.align("GG" + truth[20:60], truth)[0] >= 40
 
 
+def test_kernels_take_equal_reads_once(spark, monkeypatch):
+    rng = random.Random(9)
+    truth = ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(2)]
+    seqs = [(w, truth[w][i : i + 40]) for w in (0, 1) for i in range(0, 61, 4)]
+    bad = [(w, s[:20] + ("A" if s[20] != "A" else "C") + s[21:]) for w, s in seqs[3:5] + seqs[20:21]]
+    rows = [(w, n, s) for n, (w, s) in enumerate(seqs * 5 + bad * 2 + seqs[:3])]
+    reads = spark.createDataFrame(rows, "win long, read_id long, seq string")
+    sizes = spark.sparkContext.accumulator(0)
+    plain = kernels.correct
+    monkeypatch.setattr(kernels, "correct", lambda s, solid, k: sizes.add(1) or plain(s, solid, k))
+    got = sorted(map(tuple, kernels.correct_reads(reads).select("win", "read_id", "seq", "corrected").collect()))
+    want = []
+    for w in (0, 1):
+        mine = [(n, s) for v, n, s in rows if v == w]
+        counts = {}
+        for _, s in mine:
+            for i in range(26):
+                counts[s[i : i + 15]] = counts.get(s[i : i + 15], 0) + 1
+        want += [(w, n, s, plain(s, {x for x, m in counts.items() if m >= 3}, 15)) for n, s in mine]
+    assert got == sorted(want)
+    assert 0 < sizes.value <= len(set(seqs + bad))
+    contigs = kernels.assemble(reads.where("read_id < 160"))
+    best = {(r.win, r.read_id): (r.cname, r.score) for r in kernels.align_reads(reads, contigs).collect()}
+    targets = [(r.win, r.cname, r.contig) for r in contigs.collect()]
+    assert len(best) == len(rows)
+    for w, n, s in rows:
+        score, name = min((-kernels.align(s, t)[0], m) for v, m, t in targets if v == w)
+        assert best[w, n] == (name, -score)
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "a", f"2024-01-01 00:{m:02d}:00") for m in (0, 5, 20)] + [(1, "b", "2024-01-01 05:00:00"), (2, "c", "2024-01-01 00:00:00"), (9, "z", "2024-01-03 00:00:00")]
     df = spark.createDataFrame(rows, "user_id long, k string, t string").select("user_id", "k", F.to_timestamp("t").alias("ts"))
