@@ -150,6 +150,21 @@ def test_motifs_and_their_reverses(spark):
     assert sorted(map(tuple, machine.distinct().collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_motifs_beyond_the_basic_plane_and_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(support, "BLOCK_PATTERNS", 2)
+    monkeypatch.setattr(support, "PIECE_CHARS", 40)
+    rng = random.Random(17)
+    seqs = ["".join(rng.choice("AB\n\U0001f600é") for _ in range(n)) for n in (0, 3, 6, 30, 90, 200)] + [None, "A" * 30]
+    seqs += seqs[4:5]
+    found = [(0, "A" * 7), (1, seqs[3][-8:]), (2, seqs[4][:9]), (3, seqs[4][:9]), (4, seqs[5][50:56]), (5, seqs[3][-3:] + seqs[4][:4])]
+    texts = spark.createDataFrame(list(enumerate(seqs)), "doc long, seq string")
+    hits = support.kmer_hits(texts, spark.createDataFrame(found, "item long, pattern string"), 6)
+    want = {(d, i) for d, t in enumerate(seqs) for i, p in found if t and p in t}
+    assert {(r.doc, r.item) for r in hits.collect()} == want
+    assert support.kmer_hits(texts, spark.createDataFrame([], "item long, pattern string"), 6).count() == 0
+    assert "posexplode" not in hits._jdf.queryExecution().toString().lower()  # no row for each place of each text
+
+
 def test_breakpoint_lines_of_all_versions(spark):
     full = [str(k) for k in range(53)]
     full[34:37] = ["NA", "1", "NA"]
