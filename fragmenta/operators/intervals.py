@@ -22,13 +22,18 @@ def bins(start: Column, end: Column, width: int) -> Column:
     return F.when(start <= end, F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l: tuple[Column, Column], r: tuple[Column, Column], width: int = WIDTH) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l: tuple[Column, Column], r: tuple[Column, Column], width: int = WIDTH, parts: int | None = None) -> DataFrame:
     """Inner join of rows whose closed intervals ``l`` and ``r`` overlap and whose ``on`` columns are equal.
 
     Column names of both sides must differ. Rows with a null end or an end before the start match nothing.
+    ``parts``: tasks for the bins where the pairs far outnumber the rows; adaptive execution would put
+    bins together by the bytes of the rows.
     """
     a = left.withColumn("_ls", l[0]).withColumn("_le", l[1]).withColumn("_lbin", F.explode(bins(F.col("_ls"), F.col("_le"), width)))
     b = right.withColumn("_rs", r[0]).withColumn("_re", r[1]).withColumn("_rbin", F.explode(bins(F.col("_rs"), F.col("_re"), width)))
+    if parts:
+        a = a.repartition(parts, "_lbin", *(x for x, _ in on))
+        b = b.repartition(parts, "_rbin", *(y for _, y in on))
     cond = (F.col("_lbin") == F.col("_rbin")) & (F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le"))
     cond = cond & (F.col("_lbin") == F.floor(F.greatest("_ls", "_rs") / width))
     for x, y in on:

@@ -138,7 +138,8 @@ def a19(spark, d):
 @query("j16_interval_intersect", "SELECT a.region_id AS id_a, b.region_id AS id_b, a.chr, greatest(a.start_pos, b.start_pos) AS s, least(a.end_pos, b.end_pos) AS e FROM v_regions a JOIN (SELECT region_id, chr, start_pos + 200 AS start_pos, end_pos + 900 AS end_pos FROM v_regions) b ON a.chr = b.chr AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos")
 def j16(spark, d):
     other = regions(spark, d, "b_").withColumn("b_start_pos", c("b_start_pos") + 200).withColumn("b_end_pos", c("b_end_pos") + 900)
-    met = iv.overlap_join(regions(spark, d, "a_"), other, [("a_chr", "b_chr")], near("a_"), near("b_"), 1024)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = iv.overlap_join(regions(spark, d, "a_"), other, [("a_chr", "b_chr")], near("a_"), near("b_"), 1024, parts)
     return met.select(c("a_region_id").alias("id_a"), c("b_region_id").alias("id_b"), c("a_chr").alias("chr"), F.greatest("a_start_pos", "b_start_pos").alias("s"), F.least("a_end_pos", "b_end_pos").alias("e"))
 
 

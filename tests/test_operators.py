@@ -82,6 +82,15 @@ def test_overlap_join_equals_nested_loop(spark, width):
     assert iv.overlap_semi(left, right, *args, width, anti=True).count() == len(a) - len({x for x, _ in want})
 
 
+def test_bins_are_not_put_together(spark):
+    a, left = random_intervals(spark, 22, 120)
+    b, right = random_intervals(spark, 23, 80, "r_")
+    met = iv.overlap_join(left, right, [("chr", "r_chr")], (c("s"), c("e")), (c("r_s"), c("r_e")), 64, parts=16)
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3] and x[2] <= x[3] and y[2] <= y[3])
+    assert sorted((r.id, r.r_id) for r in met.collect()) == want
+    assert met.rdd.getNumPartitions() == 16
+
+
 @pytest.mark.parametrize("width", [1, 64, 5000])
 def test_overlaps_without_pairs_equal_nested_loops(spark, width):
     a, left = random_intervals(spark, 12, 150)
