@@ -541,6 +541,51 @@ def test_lm_memory_equals_brute_force(spark, monkeypatch, most):
     assert np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=5e-3)
 
 
+def test_lm_scores_do_not_depend_on_what_is_sent_to_all_workers(spark, monkeypatch):
+    rng = random.Random(14)
+    pool = ["".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    docs = [(k, " ".join(rng.choice(pool) for _ in range(80))) for k in range(60)]
+    docs += [(100 + k, t) for k, t in docs[:20]] + [(200, None), (201, ""), (202, "ba")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string")
+    score = lambda: {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score_documents(tables, queries.tokenizer_path()).collect()}
+    all_sent = score()
+    for where, name in ((attention, "MOST_PAIRS"), (lm, "MOST_SEGMENTS"), (lm, "MOST_WORDS")):
+        monkeypatch.setattr(where, name, 3)
+    few_sent = score()
+    assert all_sent.keys() == few_sent.keys() == {i for i, _ in docs}
+    for i, found in all_sent.items():
+        assert found[0] == few_sent[i][0] and np.allclose(found[1:], few_sent[i][1:], rtol=1e-4, atol=2e-3), i
+
+
+def test_lm_pairs_that_share_a_slot_all_count():
+    size = 1500
+    keys = np.unique(np.random.default_rng(4).integers(0, (size + 1) ** 2, 60_000))
+    times = np.arange(len(keys)) % 9 + 1
+    m = attention.begin(np.bincount(keys % (size + 1), weights=times, minlength=size + 1), keys, times)
+    assert len(m.more_keys) > 100
+    inside, unknown = attention._within(m, keys // (size + 1), keys % (size + 1))
+    assert len(unknown) == 0
+    before, ids = keys // (size + 1), keys % (size + 1)
+    after = np.zeros((size + 1, attention.CLASSES))
+    np.add.at(after, (before, m.classes[ids]), times)
+    assert np.allclose(inside, (times + attention.PRIOR * m.inside[ids]) / (after[before, m.classes[ids]] + attention.PRIOR), rtol=1e-5)
+
+
+def test_lm_rare_segments_of_a_frequent_context_count(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra", "so"]) for _ in range(3))
+    head = " ".join(word() for _ in range(30))
+    tails = [" ".join(word() for _ in range(8)) for _ in range(12_000)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    while not plain_segments([x for _, x, _ in subwords.encode_column(pa.array([head]), queries.tokenizer_path())][0].tolist(), 0):
+        head = " ".join(word() for _ in range(30))
+    twice = [k for k in range(40) if not held(k) and not held(k + 40)]
+    docs = [(k, f"{head} {tails[k - 40 if 40 <= k < 80 else k]}") for k in range(12_000)]
+    out = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), queries.tokenizer_path()).collect()}
+    assert len(out) == len(docs) and sum(not held(k) for k, _ in docs) > 2 * 4096
+    assert min(out[k] for k in twice) > max(out[k] for k in range(80, 12_000) if not held(k))
+
+
 def test_few_links_are_folded_in_few_queries(spark, monkeypatch):
     rng = random.Random(8)
     chain = list(range(300))
