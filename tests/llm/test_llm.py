@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -435,6 +438,56 @@ def test_lm_windows_score_each_token_once():
         assert len(set(chosen.tolist())) == len(chosen) and set(np.searchsorted(starts, chosen, "right").tolist()) == set(range(1, len(sequences) + 1))
 
 
+def test_lm_window_spans_equal_the_places():
+    sequences = [np.arange(n) for n in (0, 1, attention.WINDOW - 1, attention.WINDOW, attention.WINDOW + 1, 500)]
+    inputs, _, bounds = lm_stream(sequences, 777)
+    at, scored = attention.places(bounds, np.arange(attention.window_starts(bounds)[-1]), attention.window_starts(bounds))
+    begin, since, until = attention.window_spans(bounds)
+    place = np.arange(attention.WINDOW)
+    assert np.array_equal(scored, (place >= since[:, None]) & (place < until[:, None]))
+    before = place < until[:, None]
+    assert np.array_equal(attention.windowed(inputs)[begin][before], inputs[at][before])
+
+
+def test_lm_descent_keeps_its_pages():
+    code = """
+import resource
+import numpy as np
+from fragmenta.llm import attention, lm
+lm.heap_kept() or exit(3)
+rng = np.random.default_rng(1)
+ids = rng.integers(0, 5000, 60_000)
+inputs, targets, bounds = attention.stream(ids, np.arange(0, 60_001, 600), 5000)
+keys, times = np.unique(inputs * 5001 + targets, return_counts=True)
+model = attention.begin(np.bincount(targets, minlength=5001), keys, times)
+descent = attention.Descent(model, 0.003)
+begin, since, until = attention.window_spans(bounds)
+before, aims, place = attention.windowed(inputs), attention.windowed(model.classes[targets]), np.arange(attention.WINDOW)
+for turn in range(2):
+    faults = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for a in range(0, 20 * attention.BATCH, attention.BATCH):
+        mine = slice(a, a + attention.BATCH)
+        descent.learn(before[begin[mine]], aims[begin[mine]], (place >= since[mine, None]) & (place < until[mine, None]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - faults) / 20)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    if done.returncode == 3:
+        pytest.skip("this libc has no setting for freed memory")
+    assert float(done.stdout) < 50, done.stderr  # several hundred where the heap's end is given back after each step
+
+
+def test_short_pretokens_are_merged_without_the_library(monkeypatch):
+    path = queries.tokenizer_path()
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("aeinrstbcdéßüñ'=-9 ") for _ in range(rng.randint(1, 8))) for _ in range(3000)] + ["aaaaaaaaaaaaaaaa", "===========", "é" * 8]
+    own = subwords.Encoder(path)
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(own, "_ids_of", lambda texts: [1 / 0 for _ in texts])
+    data = [t.encode() for t in texts]
+    ids, bounds = own.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(6)
     sequences = [rng.integers(0, 40, 150) for _ in range(4)]
